@@ -146,11 +146,6 @@ def fold_units(units: DataFrame, rule: BlockRule) -> DataFrame:
     )
 
 
-def _with_blocks(usage: DataFrame, meters: DataFrame, rule: BlockRule) -> DataFrame:
-    units = usage.select(*rule.keys, rule.unit(F.col("ts")).alias("_unit"))
-    return assign_blocks(meters, units, rule)
-
-
 def _block_times(rule: BlockRule) -> list[Column]:
     start = F.timestamp_micros(F.col("_start_hour") * HOUR_MICROS)
     end = F.timestamp_micros(F.col("_start_hour") * HOUR_MICROS + rule.micros)
@@ -172,11 +167,21 @@ def billing_blocks(
     them, because a block may hold any number of sessions.
     """
     rule = BlockRule(hours, tuple(keys))
-    meters = compact(usage, **rule.compact_keys("session_id", "project"))
-    priced = price_meters(_with_blocks(usage, meters, rule), usage, prices, mode, strict)
-    blocks = roll_up_blocks(priced, rule, as_of)
+    meters = block_meters(usage, rule)
+    units = usage.select(*rule.keys, rule.unit(F.col("ts")).alias("_unit"))
+    return blocks_from_meters(price_meters(meters, usage, prices, mode, strict), meters, units, rule, as_of)
+
+
+def block_meters(usage: DataFrame, rule: BlockRule) -> DataFrame:
+    return compact(usage, **rule.compact_keys("session_id", "project"))
+
+
+def blocks_from_meters(
+    priced: DataFrame, meters: DataFrame, units: DataFrame, rule: BlockRule, as_of: str | datetime
+) -> DataFrame:
+    blocks = roll_up_blocks(assign_blocks(priced, units, rule), rule, as_of)
     if rule.below_an_hour:
-        return blocks.unionByName(_gap_rows(entry_gaps(usage, rule), rule))
+        return blocks.unionByName(_gap_rows(entry_gaps(meters, rule), rule))
     return with_gap_rows(blocks, rule)
 
 
@@ -240,15 +245,17 @@ def _gap_rows(pauses: DataFrame, rule: BlockRule) -> DataFrame:
     return pauses.select(*rule.keys, gap.alias("_row")).select(*rule.keys, "_row.*")
 
 
-def entry_gaps(usage: DataFrame, rule: BlockRule) -> DataFrame:
+def entry_gaps(meters: DataFrame, rule: BlockRule) -> DataFrame:
     """Neighbouring entry times of a timeline that are more than the duration apart.
 
     Needed for durations below an hour, where a pause can lie inside an hour.
-    Neighbours are found on three levels, so that no window partition grows
+    First and last times of the meters are enough: entries that were summed
+    together lie within one duration of each other. Neighbours are found on three levels, so that no window partition grows
     with the data: distinct times inside a second (at most 10^6), then seconds
     inside an hour (at most 3600), then hours of a timeline.
     """
-    times = usage.select(*rule.keys, F.unix_micros("ts").alias("_t")).distinct()
+    ends = F.explode(F.array(F.unix_micros("first_ts"), F.unix_micros("last_ts"))).alias("_t")
+    times = meters.select(*rule.keys, ends).distinct()
     times = times.withColumn("_second", F.call_function("div", F.col("_t") - F.pmod("_t", F.lit(1_000_000)), F.lit(1_000_000)))
     per_second = Window.partitionBy(*rule.keys, "_second").orderBy("_t")
     inner = times.select(*rule.keys, F.lag("_t").over(per_second).alias("_from"), F.col("_t").alias("_to"))
@@ -279,8 +286,9 @@ def block_sessions(
     """One row per block and session; the model is the most frequent one (tie: smallest name)."""
     rule = BlockRule(hours, tuple(keys))
     meters = compact(usage, **rule.compact_keys("session_id"))
-    priced = price_meters(_with_blocks(usage, meters, rule), usage, prices, mode, strict)
-    per_model = priced.groupBy(*rule.block_id, "session_id", "model").agg(
+    units = usage.select(*rule.keys, rule.unit(F.col("ts")).alias("_unit"))
+    priced = price_meters(meters, usage, prices, mode, strict)
+    per_model = assign_blocks(priced, units, rule).groupBy(*rule.block_id, "session_id", "model").agg(
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         *[F.sum(name).alias(name) for name in TOKENS],

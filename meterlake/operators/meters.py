@@ -32,7 +32,9 @@ def compact(usage: DataFrame, **keys: Column | str) -> DataFrame:
     no_cost = F.col("total_cost").isNull()
     sums = [F.sum(name).alias(name) for name in TOKENS]
     sums += [F.sum(F.when(no_cost, F.col(name)).otherwise(F.lit(0))).alias(f"unpriced_{name}") for name in TOKENS]
-    return usage.groupBy(*columns, "model").agg(
+    if "model" not in keys:
+        columns.append(F.col("model"))
+    return usage.groupBy(*columns).agg(
         *sums,
         F.sum(F.col("total_cost").cast(MONEY)).alias("logged_cost"),
         F.count("*").alias("n_entries"),

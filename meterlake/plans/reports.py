@@ -8,6 +8,7 @@ any union of compacted inputs, so the streaming jobs use the same code.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.args import parse_weekday, parse_zone
 from meterlake.functions.time import local_date, month_text, week_start
+from meterlake.operators.blocks import (
+    DEFAULT_HOURS, BlockRule, billing_blocks, block_meters, blocks_from_meters,
+)
 from meterlake.operators.filters import MonthFilter, UsageFilter
 from meterlake.operators.meters import compact, sorted_set, summed
 from meterlake.operators.pricing import price_meters, with_cost
@@ -103,6 +107,30 @@ def session_report() -> Report:
     )
 
 
+@dataclass(frozen=True)
+class BlockReport:
+    """Billing blocks in the same two steps as the other reports."""
+
+    as_of: str | datetime
+    hours: float = DEFAULT_HOURS
+    keys: tuple[str, ...] = ()
+    name: str = "blocks"
+
+    def compact(self, usage: DataFrame) -> DataFrame:
+        return block_meters(usage, BlockRule(self.hours, self.keys))
+
+    def run(
+        self, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True
+    ) -> DataFrame:
+        return billing_blocks(usage, prices, self.as_of, mode, self.hours, self.keys, strict)
+
+    def from_meters(
+        self, meters: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True
+    ) -> DataFrame:
+        priced = price_meters(meters, meters, prices, mode, strict)
+        return blocks_from_meters(priced, meters, meters, BlockRule(self.hours, self.keys), self.as_of)
+
+
 def daily(usage: DataFrame, prices: DataFrame, mode: CostMode | str = "auto", tz: str = "UTC", strict: bool = True):
     return daily_report(tz).run(usage, prices, mode, strict)
 
