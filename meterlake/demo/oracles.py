@@ -408,7 +408,9 @@ SELECT tk AS session_id, CASE
     ELSE ({_seconds(AS_OF, 'end_time')} // 3600) || 'h ' || ({_seconds(AS_OF, 'end_time')} // 60 % 60) || 'm' END AS time_remaining
 FROM r""",
     "json_sessions": f"""{priced()}, s AS ({SESSIONS})
-SELECT session_id, strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS start_time,
+SELECT session_id, strftime(start_time, '%Y-%m-%dT%H:%M:%S') || CASE
+    WHEN epoch_us(start_time) % 1000000 = 0 THEN '' WHEN epoch_us(start_time) % 1000 = 0 THEN strftime(start_time, '.%g')
+    ELSE strftime(start_time, '.%f') END || '+00:00' AS start_time,
   {_seconds('start_time', 'end_time')} AS duration_seconds, {', '.join(TOKENS)}, total_tokens,
   {money('cost')} AS total_cost, model FROM s""",
     "json_weekly": weekly(0),

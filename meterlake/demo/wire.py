@@ -25,6 +25,11 @@ def _base(events: DataFrame) -> DataFrame:
     )
 
 
+def _rendered(text: Column) -> Column:
+    """The text as a generated row: later filters then do not render it a second time."""
+    return F.explode(F.array(text)).alias("value")
+
+
 def _every(n: int) -> Column:
     return F.col("e") % n == 0
 
@@ -56,7 +61,7 @@ def claude_lines(events: DataFrame) -> DataFrame:
     )
     line = F.when(_every(17), F.lit('{"broken": ')).otherwise(F.to_json(record))
     return _base(events).select(
-        line.alias("value"), F.concat(F.lit("logs/"), F.col("session_id"), F.lit(".jsonl")).alias("_file"),
+        _rendered(line), F.concat(F.lit("logs/"), F.col("session_id"), F.lit(".jsonl")).alias("_file"),
         F.col("e").alias("_ord"),
     )
 
@@ -82,7 +87,7 @@ def codex_lines(events: DataFrame) -> DataFrame:
     line = F.when(_every(17), F.lit("broken")).when(switch, F.to_json(context)).otherwise(F.to_json(count))
     e = F.col("e")
     return _base(events).select(
-        line.alias("value"), F.concat(F.lit("sessions/"), F.col("session_id"), F.lit(".jsonl")).alias("_file"),
+        _rendered(line), F.concat(F.lit("sessions/"), F.col("session_id"), F.lit(".jsonl")).alias("_file"),
         (e - e % CODEX_CHUNK_EVENTS).alias("_chunk"), e.alias("_ord"),
     )
 
@@ -100,7 +105,7 @@ def opencode_documents(events: DataFrame) -> DataFrame:
         ).alias("tokens"),
     )
     text = F.when(_every(17), F.lit("{")).otherwise(F.to_json(record))
-    return _base(events).select(text.alias("value"), F.format_string("message/%012d.json", F.col("e")).alias("_file"))
+    return _base(events).select(_rendered(text), F.format_string("message/%012d.json", F.col("e")).alias("_file"))
 
 
 def amp_documents(events: DataFrame) -> DataFrame:
@@ -130,7 +135,7 @@ def amp_documents(events: DataFrame) -> DataFrame:
         F.concat(F.transform("items", lambda i: i["early"]), F.transform("items", lambda i: i["late"])).alias("messages"),
         F.struct(F.transform("items", lambda i: i["event"]).alias("events")).alias("usageLedger"),
     )
-    return threads.select(F.to_json(document).alias("value"), F.concat(thread_id, F.lit(".json")).alias("_file"))
+    return threads.select(_rendered(F.to_json(document)), F.concat(thread_id, F.lit(".json")).alias("_file"))
 
 
 def pi_lines(events: DataFrame) -> DataFrame:
@@ -149,4 +154,4 @@ def pi_lines(events: DataFrame) -> DataFrame:
     line = F.when(_every(17), F.lit("broken")).otherwise(F.to_json(record))
     folder = F.coalesce("project", F.lit("no project"))
     path = F.concat(F.lit("/sessions/"), F.replace(folder, F.lit(" "), F.lit("%20")), F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
-    return _base(events).select(line.alias("value"), path.alias("_file"), F.col("e").alias("_ord"))
+    return _base(events).select(_rendered(line), path.alias("_file"), F.col("e").alias("_ord"))

@@ -3,10 +3,10 @@
 Two things in a session depend on earlier lines: the model (set by
 ``turn_context`` lines) and the previous running total of that model. Both are
 "last known value" look-backs. They run per *chunk* (one input split of a
-file), whose size is bounded, and what a chunk inherits from the chunks before
-it comes from a small table with one row per chunk of a multi-chunk file, fed
-in as a synthetic first row. A session file of any size is thus processed by
-as many tasks as it has splits.
+file), whose size is bounded. What a chunk inherits from the chunks before it
+comes from a small summary, one row per chunk and model of the multi-chunk
+files, and is fed in as synthetic first rows. A session file of any size is
+thus processed by as many tasks as it has splits.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ RECORD = f"""
     type string, timestamp string, model_id string,
     payload struct<type: string, info: struct<total_token_usage: {_TOTALS}, last_token_usage: {_TOTALS}>>
 """
-CARRIED = -1
+BEFORE_CHUNK = -1
 
 
 def read(spark: SparkSession, paths: str | list[str], modified_since: datetime | None = None) -> DataFrame:
@@ -44,9 +44,7 @@ def parse(lines: DataFrame, multi_chunk_lines: DataFrame | None = None) -> DataF
     one chunk; without it all lines are taken.
     """
     large = lines if multi_chunk_lines is None else multi_chunk_lines
-    with_model = _fill_model(_events(lines), _events(large))
-    with_model_large = _fill_model(_events(large), _events(large))
-    deltas = _deltas(with_model, with_model_large)
+    deltas = _deltas(_events(lines), _inherited(_events(large)))
     return deltas.where((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0)).select(
         F.lit("codex").alias("provider"),
         file_stem(F.col("_file")).alias("session_id"),
@@ -103,47 +101,58 @@ def _events(lines: DataFrame) -> DataFrame:
     )
 
 
-def _inherited(events: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Last non-null ``value`` before each chunk, as rows at position -1 of that chunk.
+def _model_so_far() -> Column:
+    """Latest model set in the chunk up to and including a row; null before the first."""
+    rows = Window.partitionBy("_file", "_chunk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
+    return F.last("set_model", ignorenulls=True).over(rows)
 
-    Every chunk of the file gets the value of the nearest earlier chunk that
-    has one. The window runs over one row per chunk and key, not over lines.
+
+def _inherited(events: DataFrame) -> DataFrame:
+    """What each chunk inherits: the model, and per model the last running total.
+
+    First every chunk is summed up by itself; its rows before the first model
+    line have no model yet. The windows after that run over the summary. Their
+    frames end one chunk before the current, and since positions rise along a
+    file, the maximum of (position, value) is the latest value.
     """
-    known = events.where(F.col(value).isNotNull())
-    final = known.groupBy("_file", *keys, "_chunk").agg(F.max_by(value, "_ord").alias("_final"))
-    chunks = events.select("_file", *keys, "_chunk").distinct()
-    before = Window.partitionBy("_file", *keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    same = ["_file", *keys, "_chunk"]
-    return (
-        chunks.join(final, same, "left")
-        .withColumn(value, F.last("_final", ignorenulls=True).over(before))
-        .where(F.col(value).isNotNull())
-        .select(*same, F.lit(CARRIED).cast("bigint").alias("_ord"), value)
+    position_and = {name: F.when(F.col(name).isNotNull(), F.struct("_ord", name)) for name in ("set_model", "total")}
+    summary = (
+        events.withColumn("_local", _model_so_far())
+        .groupBy("_file", "_chunk", "_local")
+        .agg(*[F.max(value).alias(f"_latest_{name}") for name, value in position_and.items()])
     )
 
+    def earlier_chunks(*keys: str):
+        return Window.partitionBy("_file", *keys).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
 
-def _fill_model(events: DataFrame, large: DataFrame) -> DataFrame:
-    """Token counts with the model that the latest ``turn_context`` line set."""
-    rows = events.unionByName(_inherited(large, "set_model"), allowMissingColumns=True)
-    so_far = Window.partitionBy("_file", "_chunk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
-    model = F.coalesce(F.last("set_model", ignorenulls=True).over(so_far), F.lit(CODEX_DEFAULT_MODEL))
-    return rows.withColumn("model", model).where(F.col("ts").isNotNull()).drop("set_model")
+    return (
+        summary.withColumn("_model", F.max("_latest_set_model").over(earlier_chunks()))
+        .withColumn("inherited_by", F.coalesce("_local", "_model.set_model", F.lit(CODEX_DEFAULT_MODEL)))
+        .withColumn("_total", F.max("_latest_total").over(earlier_chunks("inherited_by")))
+        .where(F.col("_model").isNotNull() | F.col("_total").isNotNull())
+        .select(
+            "_file", "_chunk", F.lit(BEFORE_CHUNK).cast("bigint").alias("_ord"),
+            F.col("_model.set_model").alias("set_model"), F.col("_total.total").alias("total"), "inherited_by",
+        )
+    )
 
 
-def _deltas(counts: DataFrame, large: DataFrame) -> DataFrame:
+def _deltas(events: DataFrame, inherited: DataFrame) -> DataFrame:
     """Tokens of each count: its own delta if given, else the rise of the running total."""
-    rows = counts.unionByName(_inherited(large, "total", "model"), allowMissingColumns=True)
+    rows = events.unionByName(inherited, allowMissingColumns=True)
+    active = F.coalesce("inherited_by", _model_so_far(), F.lit(CODEX_DEFAULT_MODEL))
+    counts = rows.withColumn("model", active).where(F.col("ts").isNotNull() | F.col("inherited_by").isNotNull())
     before = (
         Window.partitionBy("_file", "_chunk", "model").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
     )
-    previous = F.last("total", ignorenulls=True).over(before)
+    zero = F.lit(0).cast("bigint")
 
     def tokens(part: str) -> Column:
-        zero = F.lit(0).cast("bigint")
         rise = F.greatest(F.col("total")[part] - F.coalesce(F.col("_previous")[part], zero), zero)
         return F.when(F.col("last").isNotNull(), F.col("last")[part]).otherwise(F.coalesce(rise, zero))
 
-    return rows.withColumn("_previous", previous).where(F.col("ts").isNotNull()).select(
+    with_previous = counts.withColumn("_previous", F.last("total", ignorenulls=True).over(before))
+    return with_previous.where(F.col("ts").isNotNull()).select(
         "_file", "_ord", "ts", "model",
         tokens("input").alias("input_tokens"),
         tokens("output").alias("output_tokens"),

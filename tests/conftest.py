@@ -17,6 +17,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "5000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
