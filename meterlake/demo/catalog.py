@@ -21,7 +21,7 @@ from meterlake.operators.monitor import active_sessions, historical_max, spend_s
 from meterlake.operators.pricing import resolve_models, unknown_models, with_cost
 from meterlake.plans import reports
 from meterlake.schemas import TOKENS
-from meterlake.session import pin_utc, scratch_dir
+from meterlake.session import pin_utc, scratch_dir, stage
 from meterlake.sinks.display import with_block_texts, with_display_columns
 from meterlake.sinks.documents import ROWS, block_lines, daily_detailed_lines, document_lines
 from meterlake.sources import amp, claude, codex, opencode, pi, union_usage
@@ -178,7 +178,7 @@ def _cost_rows(mode: str) -> Query:
 
 
 def _monitor(u: DataFrame, p: DataFrame) -> DataFrame:
-    blocks = billing_blocks(u, p, AS_OF)
+    blocks = stage(billing_blocks(u, p, AS_OF))
     return with_burn_rate(blocks, blocks, AS_OF).select(
         "start_time", "total_cost", "max_cost", "block_progress", "burn_rate", "remaining_minutes", "projected_cost",
         "usage_percent", "projection_percent", "projection_status", "burn_status",
@@ -187,6 +187,8 @@ def _monitor(u: DataFrame, p: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "daily": _query(lambda u, p: reports.daily(u, p)),
+    "daily_staged": _query(lambda u, p: reports.daily_report().run(u, p, staged=True)),
+    "blocks_staged": _query(lambda u, p: reports.BlockReport(AS_OF).run(u, p, staged=True)),
     "daily_ny": _query(lambda u, p: reports.daily(u, p, tz=NEW_YORK)),
     "daily_detailed": _query(lambda u, p: reports.daily_detailed(u, p).drop("_file").withColumnRenamed("_ord", "event_id")),
     "daily_by_instance": _query(lambda u, p: reports.daily_by_instance(u, p)),

@@ -425,4 +425,6 @@ SELECT session_id, count(DISTINCT start) AS blocks FROM b GROUP BY session_id"""
     "stream_sessions": sessions(),
     "stream_blocks": blocks(),
 }
+ORACLES["daily_staged"] = ORACLES["daily"]
+ORACLES["blocks_staged"] = ORACLES["blocks_global"]
 ORACLES["stream_by_instance"] = ORACLES["daily_by_instance"]

@@ -18,6 +18,7 @@ from meterlake.functions.time import (
 )
 from meterlake.operators.meters import compact
 from meterlake.operators.pricing import price_meters
+from meterlake.session import stage
 
 # Reporting thresholds (fixed values).
 DEFAULT_MAX_COST = 50.0
@@ -122,26 +123,21 @@ def spend_snapshot(
     """Cost of each requested session and of the day, as share of the daily budget.
 
     ``requests`` has ``session_id``. ``usage`` holds the recently written
-    entries (see ``sources.read_usage(..., modified_since=...)``).
+    entries (see ``sources.read_usage(..., modified_since=...)``); it is read
+    once, summed per session and day, and staged.
     """
     now, zone = parse_instant(as_of), parse_zone(tz)
     today = now.astimezone(ZoneInfo(zone)).date()
+    meters = stage(compact(usage, session_id="session_id", today=local_date("ts", zone) == F.lit(today)))
+    priced = price_meters(meters, meters, prices, staged=True)
 
     wanted = requests.select("session_id").distinct()
-    of_wanted = usage.join(wanted, "session_id", "left_semi")
     session_cost = (
-        price_meters(compact(of_wanted, session_id="session_id"), of_wanted, prices)
+        priced.join(wanted, "session_id", "left_semi")
         .groupBy("session_id")
         .agg(F.sum("cost").cast("double").alias("session_cost"), F.min("first_ts").alias("session_start"))
     )
-    of_today = usage.where(
-        (F.col("ts") > instant(now - timedelta(days=3)))
-        & (F.col("ts") < instant(now + timedelta(days=3)))
-        & (local_date("ts", zone) == F.lit(today))
-    )
-    day_cost = price_meters(compact(of_today), of_today, prices).agg(
-        F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("day_cost")
-    )
+    day_cost = priced.where("today").agg(F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("day_cost"))
     budget = F.lit(float(monthly_fee)) / days_in_month(F.lit(today))
     percent = F.when(budget > 0, F.col("day_cost") / budget * 100.0).otherwise(F.lit(0.0))
     left = time_left(F.col("session_start"), as_of)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.schemas import MONEY, RATE_FIELDS, RATES, TOKENS, CostMode
-from meterlake.session import cut_lineage
+from meterlake.session import stage
 
 #: Most rows of a resolved price table that may be broadcast (about 30 MB).
 BROADCAST_ROWS = 200_000
@@ -105,7 +105,8 @@ def unknown_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def price_meters(
-    meters: DataFrame, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True
+    meters: DataFrame, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True,
+    staged: bool = False,
 ) -> DataFrame:
     """Adds ``cost`` to compacted usage (see ``meters.compact``).
 
@@ -113,13 +114,18 @@ def price_meters(
     cheaper than computing the meters twice. ``strict`` makes the two modes
     that need a price or a logged cost fail where it is missing; otherwise the
     missing part counts as null.
+
+    The join is left to the planner: it broadcasts the resolved prices if their
+    size is known to be small (``staged`` writes them first, so that it is
+    known), and otherwise AQE splits the partition of a hot model.
     """
     mode = CostMode.parse(mode)
     if mode is CostMode.DISPLAY:
         complete = F.col("n_logged") == F.col("n_entries")
         cost = F.coalesce(F.col("logged_cost"), F.lit(0)).cast(MONEY)
         return meters.withColumn("cost", _required(complete, cost, "'no logged cost in display mode'") if strict else cost)
-    priced = meters.join(resolve_models(usage, prices), "model", "left")
+    resolved = resolve_models(usage, prices)
+    priced = meters.join(stage(resolved) if staged else resolved, "model", "left")
     if mode is CostMode.AUTO:
         computed = tokens_cost({name: F.col(f"unpriced_{name}") for name in TOKENS})
         cost = (F.coalesce(F.col("logged_cost"), F.lit(0)).cast(MONEY) + computed).cast(MONEY)
@@ -156,7 +162,7 @@ def join_models(usage: DataFrame, resolved: DataFrame) -> DataFrame:
     is broadcast. Beyond that it is repeated once per salt and joined on (model,
     salt), so that a model with a third of all entries spreads over many tasks.
     """
-    resolved = cut_lineage(resolved)
+    resolved = stage(resolved)
     if resolved.count() <= BROADCAST_ROWS:
         return usage.join(F.broadcast(resolved), "model", "left")
     salted = resolved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +55,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so that several uses do not recompute it."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once as a table in the shared folder and reads it back.
+
+    For small intermediate results with several uses: the input is then read
+    once, the planner knows the size of the table, and a lost executor costs
+    nothing but the tasks it was running.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/stage-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,8 @@
 A document is a data set of text lines in document order: an opening line, one
 line per report row, a closing line with the totals. Its text is the lines in
 order. Nothing is gathered in one row or task, so a session or instance report
-of any length can be written; ``write_document`` leaves part files whose
+of any length can be written. The rows are needed several times (rows, first
+row, totals), so they are staged first; ``write_document`` leaves part files whose
 concatenation in name order is the document.
 """
 
@@ -16,6 +17,7 @@ from meterlake.functions.text import rfc3339
 from meterlake.functions.time import micros_between, whole_seconds
 from meterlake.plans.reports import totals
 from meterlake.schemas import TOKENS
+from meterlake.session import stage
 
 
 def _tokens() -> Column:
@@ -60,6 +62,7 @@ def document_lines(report: DataFrame, kind: str) -> DataFrame:
 
     Columns: ``section``, ``position`` (sort key inside the section) and ``line``.
     """
+    report = stage(report)
     layout, order = _layouts()[kind]
     rows = report.select(F.struct(*order).alias("position"), F.to_json(F.struct(*layout)).alias("text"))
     first = report.agg(F.min(F.struct(*order))).scalar()
@@ -82,6 +85,7 @@ def daily_detailed_lines(report: DataFrame, entries: DataFrame) -> DataFrame:
     A day is an opening line, its entry lines and a closing line. Which entry
     is the first of its day comes from a minimum per day, not from collecting days.
     """
+    report, entries = stage(report), stage(entries)
     layout, _ = _layouts()["daily"]
     entry = F.struct(
         rfc3339(F.col("timestamp")).alias("timestamp"), F.col("session_id"), F.col("model"), _tokens(), F.col("cost")
@@ -118,6 +122,7 @@ def block_lines(blocks: DataFrame, sessions: DataFrame) -> DataFrame:
     ``blocks`` is a single timeline of blocks of an hour or more, and
     ``sessions`` the matching ``block_sessions``.
     """
+    blocks, sessions = stage(blocks), stage(sessions)
     no_session = F.lit(None).cast("struct<start_time:timestamp,session_id:string>").alias("position")
     block_key = F.struct(F.col("start_time").alias("start_time"), F.col("is_gap").alias("is_gap")).alias("block")
     head = F.to_json(F.struct(
