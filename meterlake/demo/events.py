@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.schemas import USAGE_COLUMNS
-
 # Model of each event type (fixed values of the test projection).
 EVENT_MODELS = {
     "view": "claude-3-haiku",
@@ -24,26 +22,22 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_from_events(events: DataFrame) -> DataFrame:
-    model = F.lit(None).cast("string")
-    for event_type, name in EVENT_MODELS.items():
-        model = F.when(F.col("event_type") == event_type, F.lit(name)).otherwise(model)
-    event = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    return events.select(
-        F.lit("events").alias("provider"),
-        F.concat(F.lit("s"), F.col("user_id")).alias("session_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        model.alias("model"),
-        (k * 10).alias("input_tokens"),
-        k.alias("output_tokens"),
-        (event % 50).alias("cache_creation_tokens"),
-        (event % 200).alias("cache_read_tokens"),
-        F.when(event % 3 == 0, F.col("value")).alias("total_cost"),
-        F.when(event % 11 != 0, F.concat(F.lit("proj"), F.col("user_id") % 7)).alias("project"),
-        F.when(event % 4 != 0, F.concat(F.lit("inst"), event % 4)).alias("instance_id"),
-        F.lit("events").alias("_file"),
-        event.alias("_ord"),
-    ).select(*USAGE_COLUMNS)
+    model = " ".join(f"WHEN '{event_type}' THEN '{name}'" for event_type, name in EVENT_MODELS.items())
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).selectExpr(
+        "'events' AS provider",
+        "concat('s', user_id) AS session_id",
+        "cast(ts AS timestamp) AS ts",
+        f"CASE event_type {model} END AS model",
+        "k * 10 AS input_tokens",
+        "k AS output_tokens",
+        "event_id % 50 AS cache_creation_tokens",
+        "event_id % 200 AS cache_read_tokens",
+        "if(event_id % 3 = 0, value, NULL) AS total_cost",
+        "if(event_id % 11 <> 0, concat('proj', user_id % 7), NULL) AS project",
+        "if(event_id % 4 <> 0, concat('inst', event_id % 4), NULL) AS instance_id",
+        "'events' AS _file",
+        "event_id AS _ord",
+    )
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,30 +117,21 @@ def fold_units(units: DataFrame, rule: BlockRule) -> DataFrame:
     distinct = units.select(*rule.keys, "_unit").distinct()
     per_key = distinct.groupBy(*rule.keys).agg(F.array_sort(F.collect_set("_unit")).alias("_units"))
 
-    def step(state: Column, unit: Column) -> Column:
-        opens = state["last"].isNull() | (unit > state["last"])
-        position = state["position"] + 1
-        return F.struct(
-            position.alias("position"),
-            F.when(opens, _hour_of(unit) * 2 + reach).otherwise(state["last"]).alias("last"),
-            F.when(opens, F.concat(state["openers"], F.array(position))).otherwise(state["openers"]).alias("openers"),
-        )
-
-    start = F.struct(
-        F.lit(0).alias("position"),
-        F.lit(None).cast("bigint").alias("last"),
-        F.array().cast("array<int>").alias("openers"),
-    )
-    opened = per_key.withColumn("_openers", F.aggregate("_units", start, step, lambda state: state["openers"]))
-
-    def members(position: Column, index: Column) -> Column:
-        following = F.coalesce(F.get("_openers", index + 1), F.size("_units") + 1)
-        return F.struct(
-            _hour_of(F.element_at("_units", position)).alias("start_hour"),
-            F.slice("_units", position, following - position).alias("members"),
-        )
-
-    blocks = opened.select(*rule.keys, F.explode(F.transform("_openers", members)).alias("_block"))
+    opened = per_key.withColumn("_openers", F.expr(f"""
+        aggregate(
+            _units,
+            named_struct('position', 0, 'reach', cast(NULL AS bigint), 'openers', cast(array() AS array<int>)),
+            (state, unit) -> named_struct(
+                'position', state.position + 1,
+                'reach', if(coalesce(unit <= state.reach, false), state.reach, unit - pmod(unit, 2) + {reach}L),
+                'openers', if(coalesce(unit <= state.reach, false), state.openers,
+                              concat(state.openers, array(state.position + 1)))),
+            state -> state.openers)"""))
+    members = F.expr("""
+        transform(_openers, (position, i) -> named_struct(
+            'start_hour', (element_at(_units, position) - pmod(element_at(_units, position), 2)) div 2,
+            'members', slice(_units, position, coalesce(get(_openers, i + 1), size(_units) + 1) - position)))""")
+    blocks = opened.select(*rule.keys, F.explode(members).alias("_block"))
     return blocks.select(
         *rule.keys, F.col("_block.start_hour").alias("_start_hour"), F.explode("_block.members").alias("_unit")
     )

@@ -43,7 +43,7 @@ def resolve_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
     key_lengths = prices.agg(F.collect_set(F.length("model"))).scalar()
 
     inside_keys = (
-        keys.select(F.explode(_all_substrings(F.col("_key"))).alias("_part"), "_price")
+        keys.select(F.explode(F.expr(_ALL_SUBSTRINGS)).alias("_part"), "_price")
         .groupBy("_part")
         .agg(F.min("_price").alias("_inside"))
     )
@@ -51,7 +51,7 @@ def resolve_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
     probes = (
         models.join(inside_keys, models["model"] == inside_keys["_part"], "left")
         .withColumn("_lengths", key_lengths)
-        .select("model", "_inside", F.explode(_probes(F.col("model"), F.col("_lengths"))).alias("_probe"))
+        .select("model", "_inside", F.explode(F.expr(_PROBES)).alias("_probe"))
         .select("model", "_inside", "_probe.rank", F.col("_probe.name").alias("_name"))
     )
     candidates = probes.join(keys, F.col("_name") == F.col("_key"), "left").select(
@@ -72,31 +72,28 @@ def _match(rank: Column, price: Column) -> Column:
     return F.when(price.isNotNull(), F.struct(rank.alias("rank"), price.alias("price")))
 
 
-def _probes(model: Column, lengths: Column) -> Column:
-    """All names to look up for a model, each with its rank."""
-    variants = [
-        model,
-        F.concat(F.lit("anthropic/"), model),
-        F.concat(F.lit("claude-"), model),
-        F.replace(model, F.lit("claude-3-"), F.lit("claude-3.")),
-        F.replace(model, F.lit("claude-3."), F.lit("claude-3-")),
-    ]
-    named = [F.struct(F.lit(rank).alias("rank"), name.alias("name")) for rank, name in enumerate(variants)]
-    parts = F.flatten(F.transform(lengths, lambda size: _substrings_of_length(model, size)))
-    partial = F.transform(F.array_distinct(parts), lambda part: F.struct(F.lit(PARTIAL).alias("rank"), part.alias("name")))
-    return F.concat(F.array(*named), partial)
-
-
-def _substrings_of_length(text: Column, size: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(
-        F.length(text) >= size, F.transform(starts, lambda start: F.substr(text, start, size))
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _all_substrings(text: Column) -> Column:
-    sizes = F.sequence(F.lit(0), F.length(text))
-    return F.array_distinct(F.flatten(F.transform(sizes, lambda size: _substrings_of_length(text, size))))
+def _substrings(text: str, length: str) -> str:
+    """SQL: all parts of ``text`` that are ``length`` characters long."""
+    return f"""if(length({text}) >= {length},
+        transform(sequence(1, length({text}) - {length} + 1), start -> substr({text}, start, {length})), array())"""
+
+
+_ALL_SUBSTRINGS = f"""
+    array_distinct(flatten(transform(sequence(0, length(_key)), size -> {_substrings('_key', 'size')})))"""
+
+# All names to look up for a model, each with its rank: the variants in their
+# fixed order, then the substrings that are as long as some key.
+_PROBES = f"""
+    concat(
+        array(
+            named_struct('rank', {EXACT}, 'name', model),
+            named_struct('rank', 1, 'name', concat('anthropic/', model)),
+            named_struct('rank', 2, 'name', concat('claude-', model)),
+            named_struct('rank', 3, 'name', replace(model, 'claude-3-', 'claude-3.')),
+            named_struct('rank', 4, 'name', replace(model, 'claude-3.', 'claude-3-'))),
+        transform(
+            array_distinct(flatten(transform(_lengths, size -> {_substrings('model', 'size')}))),
+            part -> named_struct('rank', {PARTIAL}, 'name', part)))"""
 
 
 def unknown_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
