@@ -158,37 +158,66 @@ def billing_blocks(
     them, because a block may hold any number of sessions.
     """
     rule = BlockRule(hours, tuple(keys))
-    meters = block_meters(usage, rule)
-    units = usage.select(*rule.keys, rule.unit(F.col("ts")).alias("_unit"))
-    return blocks_from_meters(price_meters(meters, usage, prices, mode, strict), meters, units, rule, as_of)
-
-
-def block_meters(usage: DataFrame, rule: BlockRule) -> DataFrame:
-    return compact(usage, **rule.compact_keys("session_id", "project"))
+    unit = rule.unit(F.col("ts")).alias("_unit")
+    meters = compact(usage, **rule.compact_keys("project"))
+    priced = price_meters(meters, usage, prices, mode, strict)
+    members = usage.select(*dict.fromkeys([*rule.keys, "session_id"]), unit)
+    return blocks_from_meters(priced, meters, members, usage.select(*rule.keys, unit), rule, as_of)
 
 
 def blocks_from_meters(
-    priced: DataFrame, meters: DataFrame, units: DataFrame, rule: BlockRule, as_of: str | datetime
+    priced: DataFrame, meters: DataFrame, members: DataFrame, units: DataFrame, rule: BlockRule, as_of: str | datetime
 ) -> DataFrame:
-    blocks = roll_up_blocks(assign_blocks(priced, units, rule), rule, as_of)
+    """Blocks from priced meters. ``members`` has the sessions of each unit, ``units`` the units themselves."""
+    blocks = roll_up_blocks(assign_blocks(priced, units, rule), rule)
+    blocks = _with_activity(_with_session_count(blocks, members, units, rule), rule, as_of)
     if rule.below_an_hour:
         return blocks.unionByName(_gap_rows(entry_gaps(meters, rule), rule))
     return with_gap_rows(blocks, rule)
 
 
-def roll_up_blocks(priced: DataFrame, rule: BlockRule, as_of: str | datetime) -> DataFrame:
-    grouped = priced.groupBy(*rule.block_id).agg(
+def roll_up_blocks(priced: DataFrame, rule: BlockRule) -> DataFrame:
+    return priced.groupBy(*rule.block_id).agg(
         F.min("first_ts").alias("actual_start_time"),
         F.max("last_ts").alias("actual_end_time"),
-        F.count_distinct("session_id").alias("session_count"),
         *summed(),
         sorted_set("model").alias("models_used"),
         sorted_set("project").alias("projects_used"),
     )
+
+
+def _with_session_count(blocks: DataFrame, members: DataFrame, units: DataFrame, rule: BlockRule) -> DataFrame:
+    """Distinct sessions per block.
+
+    Counted apart from the sums: only (unit, session) pairs move for it, and
+    the sums need no session key, which would keep them from getting small. An
+    entry that is a block of its own has one session, as has a session's timeline.
+    """
+    if "session_id" in rule.keys:
+        return blocks.withColumn("session_count", F.lit(1).cast("bigint"))
+    pairs = members.select(*rule.keys, "_unit", "session_id")
+    if rule.below_an_hour:
+        pairs = pairs.where(F.pmod("_unit", F.lit(2)) == 0)
+    counts = (
+        assign_blocks(pairs.distinct(), units, rule)
+        .groupBy(*rule.keys, "_start_hour")
+        .agg(F.count_distinct("session_id").alias("session_count"))
+        .select(*[F.col(key).alias(f"_c_{key}") for key in rule.keys], F.col("_start_hour").alias("_c_hour"), "session_count")
+    )
+    on = blocks["_start_hour"] == counts["_c_hour"]
+    for key in rule.keys:
+        on = on & blocks[key].eqNullSafe(counts[f"_c_{key}"])
+    if not rule.below_an_hour:
+        return blocks.join(counts, on)
+    counted = blocks.join(counts, on & blocks["_entry"].isNull(), "left")
+    return counted.withColumn("session_count", F.coalesce("session_count", F.lit(1)))
+
+
+def _with_activity(blocks: DataFrame, rule: BlockRule, as_of: str | datetime) -> DataFrame:
     now = instant(parse_instant(as_of))
     active = (micros_between(F.col("actual_end_time"), now) < rule.micros) & (now < F.col("end_time"))
     return (
-        grouped.select(*grouped.columns, *_block_times(rule))
+        blocks.select("*", *_block_times(rule))
         .withColumn("is_active", active)
         .withColumn("is_gap", F.lit(False))
         .select(*rule.keys, *BLOCK_COLUMNS)

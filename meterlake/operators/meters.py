@@ -45,6 +45,21 @@ def compact(usage: DataFrame, **keys: Column | str) -> DataFrame:
     )
 
 
+def merge_meters(meters: DataFrame, *keys: str) -> DataFrame:
+    """Adds meters up, per model and ``keys`` (by default all keys they have)."""
+    chosen = list(keys) or [name for name in meters.columns if name not in METERS]
+    if "model" not in chosen:
+        chosen.append("model")
+    smallest, largest = {"first_ts", "first_arrival"}, {"last_ts"}
+
+    def combined(name: str) -> Column:
+        if name in smallest:
+            return F.min(name).alias(name)
+        return (F.max(name) if name in largest else F.sum(name).cast(meters.schema[name].dataType)).alias(name)
+
+    return meters.groupBy(*chosen).agg(*[combined(name) for name in METERS])
+
+
 def arrival() -> Column:
     """Time, then position, as one fixed-width number (a hash aggregate can take its minimum)."""
     wide = "decimal(38,0)"

@@ -129,7 +129,7 @@ def spend_snapshot(
     now, zone = parse_instant(as_of), parse_zone(tz)
     today = now.astimezone(ZoneInfo(zone)).date()
     meters = stage(compact(usage, session_id="session_id", today=local_date("ts", zone) == F.lit(today)))
-    priced = price_meters(meters, meters, prices, staged=True)
+    priced = price_meters(meters, meters, prices)
 
     wanted = requests.select("session_id").distinct()
     session_cost = (

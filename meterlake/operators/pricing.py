@@ -102,8 +102,7 @@ def unknown_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def price_meters(
-    meters: DataFrame, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True,
-    staged: bool = False,
+    meters: DataFrame, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True
 ) -> DataFrame:
     """Adds ``cost`` to compacted usage (see ``meters.compact``).
 
@@ -112,17 +111,17 @@ def price_meters(
     that need a price or a logged cost fail where it is missing; otherwise the
     missing part counts as null.
 
-    The join is left to the planner: it broadcasts the resolved prices if their
-    size is known to be small (``staged`` writes them first, so that it is
-    known), and otherwise AQE splits the partition of a hot model.
+    The resolved prices are written first, so the planner knows their size: it
+    broadcasts them if they are small, and the meters then stay where they are.
+    Beyond ``spark.sql.autoBroadcastJoinThreshold`` the join shuffles, and AQE
+    splits the partition of a hot model.
     """
     mode = CostMode.parse(mode)
     if mode is CostMode.DISPLAY:
         complete = F.col("n_logged") == F.col("n_entries")
         cost = F.coalesce(F.col("logged_cost"), F.lit(0)).cast(MONEY)
         return meters.withColumn("cost", _required(complete, cost, "'no logged cost in display mode'") if strict else cost)
-    resolved = resolve_models(usage, prices)
-    priced = meters.join(stage(resolved) if staged else resolved, "model", "left")
+    priced = meters.join(stage(resolve_models(usage, prices)), "model", "left")
     if mode is CostMode.AUTO:
         computed = tokens_cost({name: F.col(f"unpriced_{name}") for name in TOKENS})
         cost = (F.coalesce(F.col("logged_cost"), F.lit(0)).cast(MONEY) + computed).cast(MONEY)

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from meterlake.functions.args import parse_weekday, parse_zone
 from meterlake.functions.time import local_date, month_text, week_start
 from meterlake.operators.blocks import (
-    DEFAULT_HOURS, BlockRule, billing_blocks, block_meters, blocks_from_meters,
+    DEFAULT_HOURS, BlockRule, billing_blocks, blocks_from_meters,
 )
 from meterlake.operators.filters import MonthFilter, UsageFilter
-from meterlake.operators.meters import compact, sorted_set, summed
+from meterlake.operators.meters import compact, merge_meters, sorted_set, summed
 from meterlake.operators.pricing import price_meters, with_cost
 from meterlake.schemas import TOKENS, CostMode
 from meterlake.session import stage
@@ -43,8 +43,8 @@ class Report:
     ) -> DataFrame:
         """The report over ``usage``.
 
-        By default one lazy plan, which reads the model column a second time to
-        look prices up: next to nothing in a columnar table. Where every read
+        By default a lazy plan, after a look-up of the prices that reads only
+        the model column: next to nothing in a columnar table. Where every read
         is a full parse (raw logs), ``staged`` writes the compacted usage first
         and does the rest on that, so that ``usage`` is read once.
         """
@@ -56,7 +56,7 @@ class Report:
         self, meters: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True
     ) -> DataFrame:
         """The report over stored meters (a staged or a streaming table)."""
-        return self.roll_up(price_meters(meters, meters, prices, mode, strict, staged=True))
+        return self.roll_up(price_meters(meters, meters, prices, mode, strict))
 
 
 def daily_report(tz: str = "UTC") -> Report:
@@ -129,7 +129,7 @@ class BlockReport:
     name: str = "blocks"
 
     def compact(self, usage: DataFrame) -> DataFrame:
-        return block_meters(usage, BlockRule(self.hours, self.keys))
+        return compact(usage, **BlockRule(self.hours, self.keys).compact_keys("session_id", "project"))
 
     def run(
         self, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True,
@@ -143,8 +143,10 @@ class BlockReport:
     def from_meters(
         self, meters: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True
     ) -> DataFrame:
-        priced = price_meters(meters, meters, prices, mode, strict, staged=True)
-        return blocks_from_meters(priced, meters, meters, BlockRule(self.hours, self.keys), self.as_of)
+        rule = BlockRule(self.hours, self.keys)
+        narrow = merge_meters(meters, *rule.compact_keys("project"))
+        priced = price_meters(narrow, meters, prices, mode, strict)
+        return blocks_from_meters(priced, narrow, meters, meters, rule, self.as_of)
 
 
 def daily(usage: DataFrame, prices: DataFrame, mode: CostMode | str = "auto", tz: str = "UTC", strict: bool = True):

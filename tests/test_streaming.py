@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from meterlake import (
     BlockReport, daily_by_instance_report, daily_report, default_prices, monthly_report, read_usage, session_report, weekly_report,
 )
-from meterlake.operators.meters import METERS
-from meterlake.streaming.live import merge_meters, read_meters, running_sums, start_watch, stream_usage
+from meterlake.operators.meters import METERS, merge_meters
+from meterlake.streaming.live import read_meters, running_sums, start_watch, stream_usage
 from tests.conftest import claude_line
 
 AS_OF = "2024-02-10T00:00:00"
