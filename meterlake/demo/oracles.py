@@ -369,7 +369,7 @@ x AS (SELECT *, CAST(cost AS DOUBLE) AS usd, {_seconds('start_time', AS_OF)} AS
 y AS (SELECT *, usd / greatest(sec // 60, 1) AS rate FROM x),
 z AS (SELECT *, usd + rate * left_min AS projected FROM y)
 SELECT {stamp('start_time')} AS start_time, round(usd, 8) AS total_cost, round(top, 8) AS max_cost,
-  round(sec / 18000.0::DOUBLE * 100, 8) AS block_progress, round(rate, 8) AS burn_rate, left_min AS remaining_minutes,
+  round(sec / CAST({_seconds('start_time', 'end_time')} AS DOUBLE) * 100, 8) AS block_progress, round(rate, 8) AS burn_rate, left_min AS remaining_minutes,
   round(projected, 8) AS projected_cost, round(usd / top * 100, 8) AS usage_percent,
   round(projected / top * 100, 8) AS projection_percent,
   CASE WHEN projected / top * 100 > 100 THEN 'WILL EXCEED LIMIT' WHEN projected / top * 100 > 80 THEN 'APPROACHING LIMIT'
