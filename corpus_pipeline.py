@@ -7,6 +7,8 @@ Parquet and read again for the next one. All but the last return the columns of
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,19 @@ def _schema(docs: DataFrame) -> tuple[str, list[str]]:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), docs.columns
 
 
+def _renamed(stage):
+    """The stage sees extra columns under names that cannot clash with its own; they get theirs back afterwards."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in ("doc_id", "text", "n_chars") else f"_extra{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), sf_dir)
+        return out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+    return run
+
+
+@_renamed
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose best grade has a probability of one half or more."""
     weights, thresholds = train(texts_of(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,6 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, weights, thresholds, schema, names).where("p_good >= 0.5").select(*names)
 
 
+@_renamed
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): the one with the least id.
 
@@ -41,13 +57,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
+@_renamed
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier; ``n_chars`` is counted anew. Documents left with no text go."""
     keyed = texts_of(docs).withColumn("row", row_key())
     full = docs.withColumn("row", _key(docs))
     schema, names = _schema(docs)
     cut = cut_texts(names, schema, full.join(repeated(keyed), "row", "left").select(*names, "ats"), 25)
-    return cut.where("n_removed = 0 OR text <> ''").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names)
+    left = cut.where("n_removed = 0 OR text <> ''")
+    if "n_chars" not in names:
+        return left.select(*names)
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, slices, texts_of
+from .common import passed_on, row_key, slices, texts_of
 
 #: Bytes of a chunk on average and at most.
 MEAN, LONGEST = 40, 256
@@ -140,8 +140,8 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
                     kept.append(body[last:])
                     texts.append(b"".join(kept).decode() if out else body.decode())
                     n_chunks.append(len(stops)), n_repeated.append(len(ats or [])), n_removed.append(sum(b - a for a, b in out)), spans.append([{"start": a, "end": b} for a, b in out])
-                part = batch.slice(first, len(held))
-                own = [pa.array(texts, pa.string()) if i == text_at else part.column(i) for i in range(len(columns))]
+                own = passed_on(batch, first, len(held))[: len(columns)]
+                own[text_at] = pa.array(texts, pa.string())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n_chunks, pa.int64()), pa.array(n_repeated, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=[*columns, *names])
 

@@ -64,6 +64,12 @@ def slices(batch: pa.RecordBatch, text_col: str = "text"):
             yield first, texts.slice(first, end - first)
 
 
+def passed_on(batch: pa.RecordBatch, first: int, n: int) -> list[pa.Array]:
+    """Columns of some rows as arrays of their own; the JVM cannot read every slice that has nulls only."""
+    rows = pa.array(np.arange(first, first + n))
+    return [c.take(rows) for c in batch.columns]
+
+
 def binary_array(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values cut from one flat array; ``ends`` in elements."""
     offsets = np.concatenate([[0], ends]).astype(np.int64) * flat.itemsize

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import passed_on, slices, texts_of
 
 BITS = 18
 SAMPLE = 12_000
@@ -142,8 +142,7 @@ def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, columns:
             for first, held in slices(batch, "text"):
                 total = np.array([weights[features(t.as_py() or "")].sum(dtype=np.float64) for t in held])
                 above = 1 / (1 + np.exp(-(total[:, None] - thresholds)))
-                part = batch.slice(first, len(held))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(above.sum(axis=1).round(9)), pa.array(above[:, -1].round(9))], names=[*names, "expected_grade", "p_good"])
+                yield pa.RecordBatch.from_arrays([*passed_on(batch, first, len(held)), pa.array(above.sum(axis=1).round(9)), pa.array(above[:, -1].round(9))], names=[*names, "expected_grade", "p_good"])
 
     return docs.select(*names).mapInArrow(run, columns + ", expected_grade double, p_good double")
 
