@@ -111,7 +111,8 @@ def fold_units(units: DataFrame, rule: BlockRule) -> DataFrame:
 
     Per key the sorted units are one array (two entries per hour of the
     calendar at most, whatever the number of rows) that ``aggregate`` walks
-    once, noting the position of every unit that opens a block.
+    once, noting the position of every unit that opens a block. An array is
+    copied whenever one is added, so positions are noted in parts of 256.
     """
     reach = 2 * rule.whole_hours - (0 if rule.strict else 1)
     distinct = units.select(*rule.keys, "_unit").distinct()
@@ -120,13 +121,16 @@ def fold_units(units: DataFrame, rule: BlockRule) -> DataFrame:
     opened = per_key.withColumn("_openers", F.expr(f"""
         aggregate(
             _units,
-            named_struct('position', 0, 'reach', cast(NULL AS bigint), 'openers', cast(array() AS array<int>)),
+            named_struct('position', 0, 'reach', cast(NULL AS bigint), 'openers', cast(array() AS array<int>),
+                         'full', cast(array() AS array<array<int>>)),
             (state, unit) -> named_struct(
                 'position', state.position + 1,
                 'reach', if(coalesce(unit <= state.reach, false), state.reach, unit - pmod(unit, 2) + {reach}L),
                 'openers', if(coalesce(unit <= state.reach, false), state.openers,
-                              concat(state.openers, array(state.position + 1)))),
-            state -> state.openers)"""))
+                              concat(if(size(state.openers) < 256, state.openers, cast(array() AS array<int>)), array(state.position + 1))),
+                'full', if(coalesce(unit <= state.reach, false) OR size(state.openers) < 256, state.full,
+                           concat(state.full, array(state.openers)))),
+            state -> flatten(concat(state.full, array(state.openers))))"""))
     members = F.expr("""
         transform(_openers, (position, i) -> named_struct(
             'start_hour', (element_at(_units, position) - pmod(element_at(_units, position), 2)) div 2,
@@ -332,8 +336,11 @@ def blocks_from_sessions(sessions: DataFrame, as_of: str | datetime, hours: int
     """Blocks over whole sessions in order of their start (the older rule).
 
     A session belongs to the block of its start; one that starts exactly at the
-    end of a block opens the next. No gaps and no projects.
+    end of a block opens the next. No gaps and no projects. Blocks of this rule
+    last whole hours.
     """
+    if hours != int(hours) or hours < 1:
+        raise ValueError(f"blocks of sessions last whole hours, not {hours}")
     rule = BlockRule(hours, strict=False)
     rows = sessions.withColumn("_unit", rule.unit(F.col("start_time")))
     assigned = assign_blocks(rows, rows, rule).withColumn("_cost", F.col("total_cost").cast(MONEY))

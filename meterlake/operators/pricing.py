@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from meterlake.schemas import MONEY, RATE_FIELDS, RATES, TOKENS, CostMode
 from meterlake.session import stage
 
-#: Most rows of a resolved price table that may be broadcast (about 30 MB).
-BROADCAST_ROWS = 200_000
-SALTS = 64
-
 # Order of preference of a match.
 EXACT, PARTIAL = 0, 6
 
@@ -152,18 +148,14 @@ def with_cost(
 
 
 def join_models(usage: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Left join of entries with their resolved prices, without moving the entries if possible.
+    """Left join of entries with their resolved prices.
 
-    The resolved table is written once and counted. Up to ``BROADCAST_ROWS`` it
-    is broadcast. Beyond that it is repeated once per salt and joined on (model,
-    salt), so that a model with a third of all entries spreads over many tasks.
+    The resolved table is written first, so the planner knows its size: within
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and the entries
+    stay where they are. Beyond it the join shuffles, and AQE splits the
+    partition of a model with very many entries.
     """
-    resolved = stage(resolved)
-    if resolved.count() <= BROADCAST_ROWS:
-        return usage.join(F.broadcast(resolved), "model", "left")
-    salted = resolved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("session_id", "ts", "_ord"), F.lit(SALTS)).cast("int")
-    return usage.withColumn("_salt", salt).join(salted, ["model", "_salt"], "left").drop("_salt")
+    return usage.join(stage(resolved), "model", "left")
 
 
 def tokens_cost(tokens: dict[str, Column]) -> Column:

@@ -4,8 +4,7 @@ Two things in a session depend on earlier lines: the model (set by
 ``turn_context`` lines) and the previous running total of that model. Both are
 "last known value" look-backs. They run per *chunk* (one input split of a
 file), whose size is bounded. What a chunk inherits from the chunks before it
-comes from a small summary, one row per chunk and model of the multi-chunk
-files, and is fed in as synthetic first rows. A session file of any size is
+comes from a small summary, one row per chunk and model, and is fed in as synthetic first rows. A session file of any size is
 thus processed by as many tasks as it has splits.
 """
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from meterlake.functions.models import CODEX_ALIASES, CODEX_DEFAULT_MODEL, apply_aliases
 from meterlake.functions.time import parse_rfc3339
 from meterlake.schemas import USAGE_COLUMNS
+from meterlake.session import stage
 from meterlake.sources.lines import all_counts, count_of, file_stem, json_rows, read_lines
 
 # Wire fields (fixed values of the log format).
@@ -32,19 +32,18 @@ BEFORE_CHUNK = -1
 
 
 def read(spark: SparkSession, paths: str | list[str], modified_since: datetime | None = None) -> DataFrame:
-    lines = read_lines(spark, paths, "*.jsonl", modified_since=modified_since)
-    large = read_lines(spark, paths, "*.jsonl", modified_since=modified_since, split_files_only=True)
-    return parse(lines, large)
+    return parse(read_lines(spark, paths, "*.jsonl", modified_since=modified_since))
 
 
-def parse(lines: DataFrame, multi_chunk_lines: DataFrame | None = None) -> DataFrame:
+def parse(lines: DataFrame) -> DataFrame:
     """Usage rows from ``value, _file, _chunk, _ord``.
 
-    ``multi_chunk_lines`` are the lines of the files that may have more than
-    one chunk; without it all lines are taken.
+    The few fields that matter are parsed once and written, with the chunks of
+    this one scan; what chunks inherit and the rows are both derived from that
+    table. A second scan could be split at other places.
     """
-    large = lines if multi_chunk_lines is None else multi_chunk_lines
-    deltas = _deltas(_events(lines), _inherited(_events(large)))
+    events = stage(_events(lines))
+    deltas = _deltas(events, _inherited(events))
     return deltas.where((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0)).select(
         F.lit("codex").alias("provider"),
         file_stem(F.col("_file")).alias("session_id"),

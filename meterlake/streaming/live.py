@@ -30,7 +30,8 @@ def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | No
     """New log files below ``path`` as lines.
 
     The file source reads each file once: logs must be moved in when complete,
-    or be rotated.
+    or be rotated. Lines appended to a file that has been read are not seen.
+    A stream cannot number lines, so ``_ord`` is null; ``start_watch`` fills it.
     """
     reader = (
         spark.readStream.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
@@ -40,7 +41,7 @@ def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | No
     return reader.load(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_ord"),
+        F.lit(None).cast("bigint").alias("_ord"),
     )
 
 
@@ -50,12 +51,14 @@ def stream_usage(spark: SparkSession, path: str, watermark: str | None = None, *
 
 
 def dedup_stream(records: DataFrame, watermark: str | None = None) -> DataFrame:
-    """First copy of every dedup key; records without a key all stay.
-
-    Without ``watermark`` (for example ``"7 days"``) all keys are remembered
-    and the result is that of the batch job. With it, a key is forgotten once
-    the watermark has passed it, state stays bounded, and records later than
-    the watermark are dropped.
+    """One copy of every dedup key; records without a key all stay.
+
+    The copy that arrives first is kept, which need not be the first by file
+    name that the batch job keeps; copies that differ in more than their place
+    can therefore give other sums. Without ``watermark`` (for example ``"7
+    days"``) all keys are remembered. With it, a key is forgotten once the
+    watermark has passed it, state stays bounded, and records later than the
+    watermark are dropped.
     """
     keyed = records.withColumn("_unkeyed", F.when(F.col("dedup_key").isNull(), F.expr("uuid()")))
     keys = ["dedup_key", "_unkeyed"]
@@ -83,7 +86,9 @@ def start_watch(
     """
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        report.compact(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        # entries of one file must differ in their position
+        numbered = batch.withColumn("_ord", F.coalesce("_ord", F.monotonically_increasing_id()))
+        report.compact(numbered).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
         if on_refresh:
             on_refresh(read_meters(batch.sparkSession, table), batch_id)
 

@@ -7,6 +7,7 @@ from meterlake import (
     billing_blocks, block_sessions, blocks_from_sessions, filter_blocks, sessions, with_token_warnings,
 )
 from meterlake.functions.args import duration_micros, parse_token_limit
+from meterlake.operators.blocks import BlockRule, fold_units
 from tests import brute
 
 DAY = datetime(2024, 1, 15)
@@ -150,3 +151,17 @@ def test_durations():
     for bad in (-1.0, -0.0, float("nan"), float("inf")):
         with pytest.raises(ValueError):
             duration_micros(bad)
+
+
+def test_blocks_of_sessions_last_whole_hours(make_usage, prices):
+    usage = make_usage()
+    for hours in (2.5, 0.5, 0):
+        with pytest.raises(ValueError):
+            blocks_from_sessions(sessions(usage, prices), "2024-01-15T09:00:00", hours)
+
+
+def test_many_blocks_in_one_timeline(spark):
+    """Positions of openers are noted in parts; every second hour opens a block."""
+    units = spark.range(3000).selectExpr("id * 4 AS _unit")
+    rows = fold_units(units, BlockRule(1.0)).collect()
+    assert sorted((r["_start_hour"], r["_unit"]) for r in rows) == [(2 * k, 4 * k) for k in range(3000)]

@@ -6,7 +6,6 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from meterlake import daily, load_prices, merge_prices, resolve_models, unknown_models, with_cost
-from meterlake.operators import pricing
 from meterlake.schemas import PRICES, RATES, TOKENS, CostMode
 from tests import brute
 
@@ -87,12 +86,15 @@ def test_unknown_models(make_usage, prices):
     assert [r.model for r in unknown_models(usage, prices).collect()] == ["mystery"]
 
 
-def test_many_models_take_the_salted_join(make_usage, prices, monkeypatch):
+def test_cost_without_broadcast_and_with_a_hot_model(spark, make_usage, prices):
     usage = make_usage(*[entry(f"claude-3-opus-{n % 9}", session_id=f"s{n}") for n in range(60)], entry("mystery"))
     expected = sorted((r.session_id, r.cost) for r in with_cost(usage, prices).collect())
-    monkeypatch.setattr(pricing, "BROADCAST_ROWS", 2)
-    salted = with_cost(usage, prices)
-    assert sorted((r.session_id, r.cost) for r in salted.collect()) == expected
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sorted((r.session_id, r.cost) for r in with_cost(usage, prices).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
     assert len(expected) == 61
 
 

@@ -8,7 +8,8 @@ from meterlake import (
     billing_blocks, block_sessions, daily, daily_by_instance, daily_detailed, monthly, sessions, weekly,
 )
 from meterlake.sinks.documents import block_lines, daily_detailed_lines, document_lines, write_document
-from meterlake.sinks.tables import write_report, write_usage
+from meterlake.operators.filters import UsageFilter
+from meterlake.sinks.tables import read_stored, write_report, write_usage
 
 DAY = datetime(2024, 1, 15, 10)
 
@@ -75,5 +76,10 @@ def test_tables(spark, usage, prices, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 12
     assert daily(back, prices).collect() == daily(usage, prices).collect()
+    chosen = UsageFilter(since="2024-01-15", until="2024-01-15")
+    stored = read_stored(spark, path, chosen)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, chosen.apply(usage.select(*stored.columns)).collect()))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan[plan.index("PartitionFilters: ["):].split("]")[0]
     write_report(daily(usage, prices), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 4

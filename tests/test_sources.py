@@ -181,6 +181,24 @@ def test_codex_large_file_is_cut_into_chunks(spark, put):
             spark.conf.set(name, value)
 
 
+def test_codex_large_file_beside_small_ones(spark, put):
+    """Splits depend on all files of a scan; the carry-over must use the same ones."""
+    lines = [codex_model("o4-mini"), *(codex_count(total=(10 * i, 3 * i)) for i in range(1, 3001))]
+    root = put("big.jsonl", *lines)
+    for k in range(10):
+        put(f"small{k}.jsonl", codex_count(last=(1, 1)))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    saved = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "200000")
+        spark.conf.set(names[1], "20000")
+        rows = codex(spark, root)
+    finally:
+        for name, value in saved.items():
+            spark.conf.set(name, value)
+    assert sorted(rows) == sorted([("o4-mini", 10, 3, 0)] * 3000 + [("gpt-5", 1, 1, 0)] * 10)
+
+
 def test_opencode(spark, put):
     message = {
         "id": "m1", "sessionID": "s1", "modelID": "gemini-3-pro-high", "cost": 0.25, "time": {"created": 1705312800.5},
