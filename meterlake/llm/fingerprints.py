@@ -23,6 +23,8 @@ The only document follows itself. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,21 +54,29 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check"))
 
 
-def _place(key: Column, table: Column, cells: int, salt: int) -> Column:
-    """The cell of a digest in sub-table 0, 1 or 2."""
-    return F.pmod(F.xxhash64(key, table, F.lit(salt)), F.lit(cells)).cast("int")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _places(key: Column, cells: int, salt: int) -> Column:
+    """The cell of a digest in each of the three sub-tables, from one hash."""
+    h = F.xxhash64(key, F.lit(salt))
+    return F.array(*[F.pmod(F.shiftrightunsigned(h, 20 * t), F.lit(cells)).cast("int") + t * cells for t in range(3)])
 
 
 def sketch(keys: Column, cells: int, salt: int) -> Column:
     """Cells of three sub-tables one after the other, as structs of count, key and check."""
     none = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("h"), _places(k, cells, salt).alias("p")))
 
-    def cell(i: Column) -> Column:
-        table = F.floor(i / cells).cast("int")
-        own = F.filter(keys, lambda k: _place(k, table, cells, salt) == i % cells)
-        return F.aggregate(own, none, lambda a, k: F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(k).alias("k"), a["h"].bitwiseXOR(_check(k)).alias("h")))
+    def add(a: Column, u: Column) -> Column:
+        return F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(u["k"]).alias("k"), a["h"].bitwiseXOR(u["h"]).alias("h"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), cell)
+    def table(us: Column, t: int) -> Column:
+        return F.transform(F.sequence(F.lit(t * cells), F.lit(t * cells + cells - 1)), lambda i: F.aggregate(us, none, lambda a, u: F.when(F.get(u["p"], F.lit(t)) == i, add(a, u)).otherwise(a)))
+
+    return _let(placed, lambda us: F.concat(*[table(us, t) for t in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -76,19 +86,25 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells_left: Column, cells: int, salt: int) -> Column:
     """(cells, found): digests that could be taken out, with +1 or -1 for the side that has them."""
     kind = "array<struct<k:bigint,s:int>>"
-    start = F.struct(cells_left.alias("cells"), F.array().cast(kind).alias("found"))
+    start = F.struct(cells_left.alias("cells"), F.array().cast(kind).alias("found"), F.lit(False).alias("stuck"))
 
     def round_(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"])))
-        new = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("s"))))
+        distinct = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("s"))))
+        placed = F.transform(distinct, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), _check(x["k"]).alias("h"), _places(x["k"], cells, salt).alias("p")))
+
+        def less(x: Column, i: Column, new: Column) -> Column:
+            def take(a: Column, u: Column) -> Column:
+                return F.struct((a["c"] - u["s"]).alias("c"), a["k"].bitwiseXOR(u["k"]).alias("k"), a["h"].bitwiseXOR(u["h"]).alias("h"))
+
+            return F.aggregate(new, x, lambda a, u: F.when(F.array_contains(u["p"], i), take(a, u)).otherwise(a))
 
-        def less(x: Column, i: Column) -> Column:
-            table = F.floor(i / cells).cast("int")
-            own = F.filter(new, lambda p: _place(p["k"], table, cells, salt) == i % cells)
-            return F.aggregate(own, x, lambda a, p: F.struct((a["c"] - p["s"]).alias("c"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(_check(p["k"])).alias("h")))
+        def after(new: Column) -> Column:
+            found = F.transform(new, lambda u: F.struct(u["k"].alias("k"), u["s"].alias("s")))
+            moved = F.struct(F.transform(state["cells"], lambda x, i: less(x, i, new)).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(False).alias("stuck"))
+            return F.when(F.size(new) > 0, moved).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck")))
 
-        after = F.struct(F.transform(state["cells"], less).alias("cells"), F.concat(state["found"], new).alias("found"))
-        return F.when(F.exists(state["cells"], lambda x: x["c"] != 0), after).otherwise(state)
+        return F.when(state["stuck"], state).otherwise(_let(placed, after))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
 
@@ -113,12 +129,14 @@ def differences(a: Column, b: Column, first: Column) -> Column:
             def own(keys: Column) -> Column:
                 return F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit("part"), F.lit(turn)), parts).cast("int") == p)
 
-            return peel(subtract(sketch(own(a), PART_CELLS, turn + 1), sketch(own(b), PART_CELLS, turn + 1)), PART_CELLS, turn + 1)
+            sides = F.struct(own(a).alias("a"), own(b).alias("b"))
+            return _let(sides, lambda two: peel(subtract(sketch(two["a"], PART_CELLS, turn + 1), sketch(two["b"], PART_CELLS, turn + 1)), PART_CELLS, turn + 1))
 
         done = F.transform(F.sequence(F.lit(0), parts - 1), part)
-        return F.when(F.forall(done, _complete), F.flatten(F.transform(done, lambda d: d["found"])))
+        return _let(done, lambda all_: F.when(F.forall(all_, _complete), F.flatten(F.transform(all_, lambda d: d["found"]))))
 
-    return F.coalesce(F.when(_complete(peeled), peeled["found"]).cast(kind), *(larger(t).cast(kind) for t in range(RETRIES)))
+    first_try = _let(peeled, lambda p: F.when(_complete(p), p["found"]))
+    return F.coalesce(first_try.cast(kind), *(larger(t).cast(kind) for t in range(RETRIES)))
 
 
 def likeness(a: Column, b: Column, found: Column) -> Column:
