@@ -23,9 +23,10 @@ from meterlake.plans import reports
 from meterlake.schemas import TOKENS
 from meterlake.session import pin_utc, scratch_dir, stage
 from meterlake.sinks.display import with_block_texts, with_display_columns
-from meterlake.sinks.documents import ROWS, block_lines, daily_detailed_lines, document_lines
-from meterlake.sources import amp, claude, codex, opencode, pi, union_usage
+from meterlake.sinks.documents import CLOSING, OPENING, ROWS, block_lines, daily_detailed_lines, document_lines
+from meterlake.sources import amp, claude, codex, opencode, pi, read_usage, union_usage
 from meterlake.sources.prices import default_prices, merge_prices
+from meterlake.streaming.folder import refresh, watched_usage
 from meterlake.streaming.live import read_meters, start_watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +99,41 @@ def _stream_query(report) -> Query:
     return run
 
 
+def _batches_query(report, batches: int = 4) -> Query:
+    """The report by a streaming job, over the events in several files, one per micro-batch."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pin_utc(spark)
+        folder = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
+        read_events(spark, sf_dir).repartition(batches, "event_id").write.parquet(f"{folder}/events")
+        files = spark.readStream.schema(read_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        start_watch(usage_from_events(files), report, f"{folder}/meters", f"{folder}/checkpoint").awaitTermination()
+        return flat(report.from_meters(read_meters(spark, f"{folder}/meters"), default_prices(spark)))
+
+    return run
+
+
+def _growing_logs(events: DataFrame) -> DataFrame:
+    """Usage by a watch on real log files that hold the earlier half of their lines first, then all."""
+    spark, lines = events.sparkSession, stage(wire.claude_lines(events))
+    half = lines.agg(F.percentile_approx("_ord", 0.5)).first()[0] or 0
+    folder = wire.write_logs(lines.where(F.col("_ord") < half))
+    table = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
+    refresh(spark, folder, table)
+    refresh(spark, wire.write_logs(lines, folder), table)
+    return watched_usage(spark, table)
+
+
+def _read_files(provider: str, lines: Callable[[DataFrame], DataFrame], deep: bool = False) -> Query:
+    """The events as real log files, read by the provider's reader."""
+
+    def build(events: DataFrame) -> DataFrame:
+        folder = wire.write_logs(lines(events))
+        return _usage_columns(read_usage(events.sparkSession, provider, f"{folder}/*" if deep else folder))
+
+    return _wire_query(build)
+
+
 def parsed_claude(events: DataFrame) -> DataFrame:
     return claude.parse(wire.claude_lines(events))
 
@@ -139,6 +175,24 @@ def _document_rows(lines: DataFrame, schema: str) -> DataFrame:
 _TOKENS_JSON = "tokens struct<input_tokens: bigint, output_tokens: bigint, cache_creation_tokens: bigint, cache_read_tokens: bigint, total: bigint>"
 
 
+def _whole_document(lines: DataFrame, key: str, fields: str) -> DataFrame:
+    """Rows of a document and its totals, which have ``totals`` as their key."""
+    rows = _document_rows(lines, f"{fields}, {_TOKENS_JSON}, total_cost double")
+    text = F.regexp_extract("line", r'^\],"totals":(.*)\}$', 1)
+    closing = lines.where(F.col("section") == CLOSING).select(F.from_json(text, f"{_TOKENS_JSON}, total_cost double").alias("r"))
+    totals = closing.select(F.lit("totals").alias(key), "r.tokens.*", "r.total_cost").withColumnRenamed("total", "total_tokens")
+    return rows.unionByName(totals, allowMissingColumns=True)
+
+
+def _block_objects(blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """Blocks read back from the opening lines of the block document."""
+    heads = block_lines(blocks, members).where((F.col("section") == ROWS) & (F.col("step") == OPENING))
+    schema = f"""start_time timestamp, end_time timestamp, is_active boolean, is_gap boolean, session_count bigint,
+        {_TOKENS_JSON}, total_cost double, models_used array<string>"""
+    rows = heads.select(F.from_json(F.concat(F.ltrim(F.col("line"), F.lit(",")), F.lit("]}")), schema).alias("r"))
+    return rows.select("r.*").select("*", "tokens.*").drop("tokens").withColumnRenamed("total", "total_tokens")
+
+
 def _block_ids(blocks: DataFrame, members: DataFrame) -> DataFrame:
     """Session ids listed in the block document, counted over all blocks."""
     lines = block_lines(blocks, members)
@@ -165,6 +219,13 @@ def _daily_snapshot(u: DataFrame, p: DataFrame) -> DataFrame:
     return spend_snapshot(u, u.select("session_id"), p, AS_OF, 200.0, NEW_YORK).drop("cost_text")
 
 
+def _requested_snapshot(u: DataFrame, p: DataFrame) -> DataFrame:
+    """Sessions that worked on one project, and one that has no usage."""
+    nobody = u.sparkSession.range(1).select(F.lit("nobody").alias("session_id"))
+    wanted = u.where("project = 'proj3'").select("session_id").unionByName(nobody)
+    return spend_snapshot(u, wanted, p, AS_OF, 200.0, NEW_YORK)
+
+
 def _model_families(u: DataFrame, p: DataFrame) -> DataFrame:
     priced = with_cost(u, p)
     return priced.groupBy(short_name(F.col("model")).alias("family"), status_name(F.col("model")).alias("status_name")).agg(
@@ -220,6 +281,9 @@ QUERIES: dict[str, Query] = {
     "parse_opencode": _wire_query(lambda e: _usage_columns(parsed_opencode(e))),
     "parse_amp": _wire_query(lambda e: _usage_columns(parsed_amp(e))),
     "parse_pi": _wire_query(lambda e: _usage_columns(parsed_pi(e))),
+    "read_claude": _read_files("claude", wire.claude_lines),
+    "read_codex": _read_files("codex", wire.codex_lines, deep=True),
+    "read_pi": _read_files("pi", wire.pi_lines),
     "provider_union": _wire_query(_provider_union),
     "blocks_global": _query(lambda u, p: billing_blocks(u, p, AS_OF)),
     "blocks_by_model": _query(lambda u, p: billing_blocks(u, p, AS_OF, keys=["model"])),
@@ -241,6 +305,7 @@ QUERIES: dict[str, Query] = {
     "burn_projection": _query(_monitor),
     "active_sessions": _query(lambda u, p: active_sessions(u, AS_OF)),
     "spend_snapshot": _query(_daily_snapshot),
+    "spend_snapshot_requests": _query(_requested_snapshot),
     "usage_by_model_family": _query(_model_families),
     "display_daily": _query(lambda u, p: with_display_columns(reports.daily(u, p)).select(
         "date", "input_tokens_text", "total_tokens_text", "total_cost_text", "models_text")),
@@ -253,6 +318,14 @@ QUERIES: dict[str, Query] = {
     "json_weekly": _query(lambda u, p: _document_rows(
         document_lines(reports.weekly(u, p), "weekly"), f"week string, {_TOKENS_JSON}, total_cost double, active_days bigint")),
     "json_daily_entries": _query(lambda u, p: _entry_lines(reports.daily(u, p), reports.daily_detailed(u, p))),
+    "json_daily": _query(lambda u, p: _whole_document(
+        document_lines(reports.daily(u, p), "daily"), "date", "date string, models_used array<string>")),
+    "json_by_instance": _query(lambda u, p: _whole_document(
+        document_lines(reports.daily_by_instance(u, p), "daily_by_instance"), "date",
+        "date string, instance_id string, models_used array<string>")),
+    "json_monthly": _query(lambda u, p: _whole_document(
+        document_lines(reports.monthly(u, p, tz=NEW_YORK), "monthly"), "month", "month string, active_days bigint")),
+    "json_blocks": _query(lambda u, p: _block_objects(billing_blocks(u, p, AS_OF), block_sessions(u, p))),
     "json_block_sessions": _query(lambda u, p: _block_ids(billing_blocks(u, p, AS_OF), block_sessions(u, p))),
     "stream_daily": _stream_query(reports.daily_report()),
     "stream_by_instance": _stream_query(reports.daily_by_instance_report()),
@@ -260,4 +333,6 @@ QUERIES: dict[str, Query] = {
     "stream_weekly": _stream_query(reports.weekly_report()),
     "stream_sessions": _stream_query(reports.session_report()),
     "stream_blocks": _stream_query(reports.BlockReport(AS_OF)),
+    "stream_blocks_below_an_hour": _batches_query(reports.BlockReport(AS_OF, hours=0.25)),
+    "stream_claude_dedup": _wire_query(lambda e: _usage_columns(_growing_logs(e))),
 }

@@ -284,6 +284,17 @@ def _ny(ts: str) -> str:
     return f"strftime({local(ts)}, '%Y-%m-%d %H:%M') || ' EST'"
 
 
+_TOKEN_NAMES = f"{', '.join(TOKENS)}, total_tokens"
+
+
+def _document(rows: str, names: list[str]) -> str:
+    """Report rows and totals; ``names`` are the columns besides tokens and cost, the first is the key."""
+    blank = ", ".join(f"NULL AS {name}" for name in names[1:])
+    return f"""SELECT {', '.join(names)}, {_TOKEN_NAMES}, total_cost FROM ({rows})
+UNION ALL SELECT 'totals' AS {names[0]}, {blank}, {_TOKEN_NAMES}, total_cost
+FROM ({priced()} SELECT {TOKEN_SUMS}, {COST} FROM a)"""
+
+
 ORACLES: dict[str, str] = {
     "daily": daily(),
     "daily_ny": daily(f"CAST({local('ts')} AS DATE)"),
@@ -425,6 +436,20 @@ SELECT session_id, count(DISTINCT start) AS blocks FROM b GROUP BY session_id"""
     "stream_sessions": sessions(),
     "stream_blocks": blocks(),
 }
+ORACLES["read_claude"] = ORACLES["stream_claude_dedup"] = ORACLES["parse_claude"]
+ORACLES["read_codex"], ORACLES["read_pi"] = ORACLES["parse_codex_delta"], ORACLES["parse_pi"]
+ORACLES["stream_blocks_below_an_hour"] = ORACLES["blocks_below_an_hour"]
+ORACLES["json_daily"] = _document(ORACLES["daily"], ["date", "models_used"])
+ORACLES["json_by_instance"] = _document(ORACLES["daily_by_instance"], ["date", "instance_id", "models_used"])
+ORACLES["json_monthly"] = _document(ORACLES["monthly"], ["month", "active_days"])
+ORACLES["json_blocks"] = f"""SELECT start_time, end_time, is_active, is_gap, session_count, {_TOKEN_NAMES}, total_cost, models_used
+FROM ({ORACLES['blocks_global']})"""
+ORACLES["spend_snapshot_requests"] = ORACLES["spend_snapshot"].replace(
+    "x AS (SELECT s.*,", """q AS (SELECT DISTINCT session_id FROM u WHERE project = 'proj3' UNION ALL SELECT 'nobody'),
+x AS (SELECT q.session_id, coalesce(s.cost, 0) AS cost, s.began,""").replace(
+    "FROM s, d)", "FROM q LEFT JOIN s ON q.session_id = s.session_id CROSS JOIN d)").replace(
+    "CASE WHEN sec <= 0", "CASE WHEN began IS NULL THEN 'no block' WHEN sec <= 0").replace(
+    "AS time_left FROM x", "AS time_left,\n  CASE WHEN cost > 0 THEN printf('$%.2f', CAST(cost AS DOUBLE)) ELSE 'no session' END AS cost_text FROM x")
 ORACLES["daily_staged"] = ORACLES["daily"]
 ORACLES["blocks_staged"] = ORACLES["blocks_global"]
 ORACLES["stream_by_instance"] = ORACLES["daily_by_instance"]

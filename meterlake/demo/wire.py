@@ -6,10 +6,13 @@ fields and time stamps that no parser may accept, at fixed rates.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.demo.events import usage_from_events
+from meterlake.session import scratch_dir
 
 AMP_THREAD_EVENTS = 500
 CODEX_CHUNK_EVENTS = 1000
@@ -92,6 +95,33 @@ def codex_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def write_logs(lines: DataFrame, folder: str | None = None) -> str:
+    """The lines as real log files, one per ``_file``, below a folder in the shared scratch space.
+
+    Spark names its text files itself, so they are moved to their names afterwards;
+    ``folder`` is an earlier result, whose files of the same name are replaced.
+    """
+    spark = lines.sparkSession
+    written = f"{scratch_dir(spark)}/written-{uuid.uuid4()}"
+    folder = folder or f"{scratch_dir(spark)}/logs-{uuid.uuid4()}"
+    place = lines.select(
+        "value", "_ord", F.regexp_extract("_file", "([^/]*)/[^/]*$", 1).alias("dir"), F.regexp_extract("_file", "([^/]*)$", 1).alias("name"))
+    named = place.withColumn("dir", F.url_decode("dir")).repartition("dir", "name").sortWithinPartitions("dir", "name", "_ord")
+    named.drop("_ord").write.partitionBy("dir", "name").text(written)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(written)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for parts in system.globStatus(hadoop.Path(written, "dir=*/name=*/part-*")):
+        source = parts.getPath()
+        name, parent = source.getParent().getName(), source.getParent().getParent().getName()
+        target = hadoop.Path(f"{folder}/{parent.removeprefix('dir=')}/{name.removeprefix('name=')}")
+        system.mkdirs(target.getParent())
+        system.delete(target, False)
+        system.rename(source, target)
+    system.delete(root, True)
+    return folder
+
+
 def opencode_documents(events: DataFrame) -> DataFrame:
     record = F.struct(
         F.concat(F.lit("m"), F.col("e") % 7000).alias("id"),

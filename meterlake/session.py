@@ -65,3 +65,10 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/stage-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder in whatever file system it is; a missing one is no error."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

