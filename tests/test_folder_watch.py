@@ -73,9 +73,9 @@ def test_blocks_below_an_hour(spark, put, table, prices):
 
 
 def test_merge_bounds_the_folders(spark, put, tmp_path, table):
-    for n in range(1, 6):
+    for n in range(1, 4):
         root = put("logs/a.jsonl", *[line(m) for m in range(n)]) + "/logs"
-        assert refresh(spark, root, table, merge_after=2)
+        assert refresh(spark, root, table, merge_after=1)
         assert len(same_as_batch(spark, root, table)) == n
     assert max(len(list((tmp_path / "table" / part).glob("version=*"))) for part in ("commits", "files", "records")) <= 3
 
