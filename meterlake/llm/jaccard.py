@@ -12,9 +12,10 @@ of two neighbouring steps are compared by the same fragments.
 
 Sets that meet are linked in a star around the least one, stars are joined into
 classes of candidates, and within a class overlaps are counted for one fragment of
-the n-gram order after the other and summed per pair. N-grams that only one set of
-a class has cannot add to an overlap and are left out. Large classes are dealt in
-blocks of sets, a task for each pair of blocks.
+the n-gram order after the other and summed per pair, for pairs that no chain of
+links joins yet. N-grams that only one set of a class has cannot add to an overlap
+and are left out. Large classes are dealt in blocks of sets, a task for each pair
+of blocks.
 
 Texts with equal sets are one set. Its documents share its class.
 
@@ -41,8 +42,11 @@ from pyspark.sql import functions as F
 from .common import binary_array, row_key, slices, table, texts_of
 from .graph import components
 
-#: Sets in a block of a class.
-BLOCK = 2048
+#: N-grams and sets in a block of a class.
+BLOCK_GRAMS, BLOCK_SETS = 1_500_000, 8192
+
+#: Occurrences of n-grams that are counted at a time.
+FRAGMENT = 1 << 20
 
 
 #: Moves A-Z to a-z in UTF-8 bytes and every white space to a blank.
@@ -190,16 +194,25 @@ def meetings(keyed: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     return sent.join(least, "digest").where("set > b").select(F.col("set").alias("a"), "b").distinct()
 
 
+def dealt(classes: DataFrame) -> DataFrame:
+    """Adds to (row, set, class, n) the number of blocks of the class and the block of the set.
+
+    A block has about ``BLOCK_GRAMS`` n-grams and ``BLOCK_SETS`` sets, so a task
+    needs the same memory whether sets are many or long.
+    """
+    most = F.greatest(F.sum("n") / BLOCK_GRAMS, F.count("*") / BLOCK_SETS)
+    sizes = classes.groupBy("class").agg(F.ceil(most).cast("int").alias("blocks"))
+    return classes.join(sizes, "class").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+
+
 def verified(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): links that join the similar sets of each class of candidates.
 
-    ``sets`` has (class, set, hashes). A class is dealt in blocks; each pair of
-    blocks is one group. Within a group a link between sets that are joined
-    already is not returned, so there are fewer links than sets.
+    ``sets`` has (class, blocks, mine, set, hashes). Each pair of blocks is one
+    group. Within a group a link between sets that are joined already is not
+    returned, so there are fewer links than sets.
     """
-    sizes = sets.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = sets.join(sizes, "class").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    pairs = dealt.select("class", "set", "hashes", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = pairs.select("class", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "set", "hashes")
 
     def link(key, group):
@@ -217,59 +230,69 @@ def verified(sets: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _links(sets: list[np.ndarray], threshold: Fraction, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of similar pairs that make a spanning forest; with ``sides`` only pairs of two sides count."""
+    """Places of similar pairs that make a spanning forest; with ``sides`` only pairs of two sides count.
+
+    One set after the other is compared with all sets that share n-grams with it,
+    until every set outside the largest component has been. Two sets of different
+    components have then been compared, and the members of a large group of copies
+    need not be compared with each other.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    flat, of = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    grams, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    inside = shared[at]
-    at, of = number[at[inside]], of[inside]
-    overlap = np.zeros((m, m), np.float32)
-    width = 4096 if m > 16 else 1 << 16
-    order = np.argsort(at, kind="stable")
-    at, of = at[order], of[order]
-    for low in range(0, int(shared.sum()), width):  # one fragment of the n-gram order after the other
-        a, b = np.searchsorted(at, (low, low + width))
-        have = np.zeros((m, min(width, int(shared.sum()) - low)), np.float32)
-        have[of[a:b], at[a:b] - low] = 1
-        overlap += have @ have.T
-    both = overlap.astype(np.int64)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    begin = np.flatnonzero(new)
+    times = np.diff(begin, append=len(flat))
+    gram = np.empty(len(flat), np.int32)
+    gram[order] = np.cumsum(new, dtype=np.int32) - 1
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)[order]
+    del flat, ordered, new, order
+    own = np.concatenate([[0], np.cumsum(sizes)])
     p, q = threshold.numerator, threshold.denominator
-    i, j = np.nonzero(np.triu(q * both >= p * (sizes[:, None] + sizes - both), 1))
-    if sides is not None:
-        across = sides[i] != sides[j]
-        i, j = i[across], j[across]
-    root = np.arange(m)
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    kept = []
-    for k, (u, v) in enumerate(zip(i.tolist(), j.tolist())):
-        u, v = find(u), find(v)
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            kept.append(k)
-    return i[kept], j[kept]
+    label, waiting, left, right = np.arange(m), np.ones(m, bool), [], []
+    while True:
+        rest = np.flatnonzero(waiting & (label != np.argmax(np.bincount(label, minlength=m))))
+        if not len(rest):
+            break
+        i = int(rest[0])
+        waiting[i] = False
+        mine = gram[own[i] : own[i + 1]]
+        mine = mine[times[mine] > 1]
+        both = np.zeros(m, np.int64)
+        total = np.cumsum(times[mine])
+        cuts = np.searchsorted(total, np.arange(FRAGMENT, int(total[-1]) if len(total) else 0, FRAGMENT))
+        for part in np.split(mine, np.unique(cuts)):  # one fragment of the n-gram order after the other
+            counts = times[part]
+            at = np.arange(int(counts.sum())) + np.repeat(begin[part] - (np.cumsum(counts) - counts), counts)
+            both += np.bincount(owner[at], minlength=m)
+        similar = (both > 0) & (q * both >= p * (sizes[i] + sizes - both)) & (label != label[i])
+        if sides is not None:
+            similar &= sides != sides[i]
+        j = np.flatnonzero(similar)
+        joined, at = np.unique(label[j], return_index=True)
+        if len(joined):
+            left += [i] * len(joined)
+            right += j[at].tolist()
+            label[np.isin(label, joined)] = label[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def candidate_sets(keyed: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """(class, set, hashes) of every set that has a candidate. ``classes`` is (row, set, class), a row for each set."""
+    """(class, blocks, mine, set, hashes) of every set that has a candidate. ``classes`` has a row for each set."""
+    names = ["class", "blocks", "mine", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, held in slices(batch):
                 h, ends = shingle_sets(held, n)
                 part = batch.slice(first, len(held))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binary_array(h, ends)], names=["class", "set", "hashes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], binary_array(h, ends)], names=[*names, "hashes"])
 
-    met = keyed.join(classes, "row").select("class", "set", "text")
-    return met.mapInArrow(run, "class long, set long, hashes binary")
+    met = keyed.join(classes, "row").select(*names, "text")
+    return met.mapInArrow(run, "class long, blocks int, mine int, set long, hashes binary")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
@@ -284,8 +307,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction | str =
     met = table(meetings(keyed, n, threshold), "meetings")
     candidates = components(met).select(F.col("node").alias("set"), F.col("component").alias("class"))
     # one row, the one with the least key, stands for all texts of a set
-    first = described.where("n_shingles > 0").groupBy("set").agg(F.min("row").alias("row"))
-    links = table(verified(candidate_sets(keyed, candidates.join(first, "set"), n), threshold), "links")
+    first = described.where("n_shingles > 0").groupBy("set").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
+    classes = dealt(table(candidates.join(first, "set"), "candidates"))
+    links = table(verified(candidate_sets(keyed, classes, n), threshold), "links")
     joined = components(links).select(F.col("node").alias("set"), "component")
     classed = described.join(joined, "set", "left").withColumn("_class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set")))
     least = classed.where("_class IS NOT NULL").groupBy("_class").agg(F.min("doc_id").alias("_least"))

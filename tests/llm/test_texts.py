@@ -81,7 +81,7 @@ def test_large_classes_are_compared_in_blocks(spark, monkeypatch):
         w = list(base)
         w[g.randrange(len(w))] = f"new{k}"
         rows.append((k, " ".join(w)))
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
     found = [tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, "0.85").select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(found) == sorted(brute_jaccard(rows, 4, Fraction("0.85")))
 
