@@ -4,9 +4,10 @@ N-grams are ordered by a hash, and that order is cut into fragments. Two sets wi
 a Jaccard similarity of at least the threshold differ in a bounded number of
 elements, hence in at most as many fragments; with more fragments than that, some
 fragment is equal on both sides. So each set sends a digest of each fragment, and
-sets with an equal digest meet, whatever they share otherwise: a passage that
-very many documents have does not fill a whole fragment and brings nobody
-together. The number of fragments depends on the set's size, in steps of
+sets with an equal digest meet, whatever they share otherwise. There are spare
+fragments, and each set leaves out as many digests, those that the most sets
+have: a fragment that lies within a passage of very many documents brings
+together only sets that have little else. The number of fragments depends on the set's size, in steps of
 1 / threshold; a set takes part in its own step and in the one below, so that sets
 of two neighbouring steps are compared by the same fragments.
 
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_array, row_key, slices, table, texts_of
@@ -105,28 +106,31 @@ class Steps:
         while self.bounds[-1] < 1 << 40:
             self.bounds.append(max(self.bounds[-1] + 1, math.floor(self.bounds[-1] / threshold) + 1))
         # step s is met by sets of bounds[s] <= size < bounds[s + 1], and the larger partners of those
-        self.fragments = []
+        self.fragments, self.spares = [], []
         for s in range(len(self.bounds) - 1):
             small = self.bounds[s + 1] - 1
             total = small + math.floor(small / threshold)
             differ = max(most_differences(t, threshold) for t in range(max(2, total - 3), total + 1))
-            self.fragments.append(differ + 1 + min(4, differ // 8))
+            self.spares.append(1 + differ // 6 if differ else 0)
+            self.fragments.append(differ + 1 + self.spares[-1])
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.bounds), sizes, side="right") - 1
 
 
-def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, digest): a digest of each fragment that has elements, in a set's step and the one below.
+def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, digest, mark): a digest of each fragment that has elements, in a set's step and the one below.
 
-    With more empty fragments than spare ones, two similar sets could have only
-    empty ones in common, so then those are sent, too.
+    ``mark`` is 4 * the number of digests that may be left out + 2 * (step below)
+    + (empty fragment). Empty fragments are the first to be left out; they are
+    sent only if there are more of them than spare ones, as two similar sets could
+    then have only empty ones in common.
     """
     sizes = np.diff(ends, prepend=0)
     of = np.repeat(np.arange(len(sizes)), sizes)
     own = steps.of(np.maximum(sizes, 1))
     outs = []
-    fragments = np.array(steps.fragments, np.int64)
+    fragments, spares = np.array(steps.fragments, np.int64), np.array(steps.spares, np.int64)
     high = (h >> np.uint64(32)).astype(np.int64)
     mixed = _mix(h ^ np.uint64(0xD6E8FEB86659FD93))
     for below in (0, 1):
@@ -144,13 +148,15 @@ def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarra
         owner = np.repeat(np.arange(len(sizes)), parts)
         nth = np.arange(total) - base[owner]
         empty = np.bincount(owner[count == 0], minlength=len(sizes))
-        spare = np.minimum(4, (parts - 1) // 9)
-        send = (count > 0) | (empty[owner] > spare[owner])
+        spare = spares[np.maximum(step, 0)]
+        many = empty > spare
+        send = (count > 0) | many[owner]
         digest = _mix(_mix(value + count.astype(np.uint64)) + (nth.astype(np.uint64) << np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) + step[owner].astype(np.uint64))
-        outs.append((owner[send], digest[send]))
+        mark = 4 * np.where(many, spare, spare - empty)[owner] + 2 * below + (count == 0)
+        outs.append((owner[send], digest[send], mark[send].astype(np.int32)))
     if not outs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([o for o, _ in outs]), np.concatenate([d for _, d in outs])
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return tuple(np.concatenate(x) for x in zip(*outs))
 
 
 def _identity(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -184,14 +190,20 @@ def meetings(keyed: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 ids = _identity(h, ends)
                 distinct = np.zeros(len(ids), bool)
                 distinct[np.unique(ids, return_index=True)[1]] = True
-                of, digest = signatures(h, ends, steps)
+                of, digest, mark = signatures(h, ends, steps)
                 kept = distinct[of]
-                yield pa.RecordBatch.from_arrays([pa.array(digest[kept].view(np.int64)), pa.array(ids[of[kept]])], names=["digest", "set"])
-
-    sent = keyed.select("text").mapInArrow(send, "digest long, set long")
+                columns = [pa.array(digest[kept].view(np.int64)), pa.array(ids[of[kept]]), pa.array(mark[kept])]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "set", "mark"])
+
+    sent = keyed.select("text").mapInArrow(send, "digest long, set long, mark int")
+    often = sent.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    shared = sent.join(often, "digest").distinct()
+    # similar sets share more digests than either leaves out, so the least frequent one that they share is left out by neither
+    order = Window.partitionBy("set", F.expr("mark & 2")).orderBy(F.expr("mark & 1").desc(), F.desc("n"), "digest")
+    kept = table(shared.withColumn("_nth", F.row_number().over(order)).where("_nth > mark >> 2").select("digest", "set"), "fragments")
     # the least set of a fragment is a partial aggregate; the join back can be split at hot fragments
-    least = sent.groupBy("digest").agg(F.min("set").alias("b"), F.max("set").alias("top")).where("b < top").select("digest", "b")
-    return sent.join(least, "digest").where("set > b").select(F.col("set").alias("a"), "b").distinct()
+    least = kept.groupBy("digest").agg(F.min("set").alias("b"), F.max("set").alias("top")).where("b < top").select("digest", "b")
+    return kept.join(least, "digest").where("set > b").select(F.col("set").alias("a"), "b").distinct()
 
 
 def dealt(classes: DataFrame) -> DataFrame:
