@@ -63,7 +63,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = texts_of(docs).withColumn("row", row_key())
     full = docs.withColumn("row", _key(docs))
     schema, names = _schema(docs)
-    cut = cut_texts(names, schema, full.join(repeated(keyed), "row", "left").select(*names, "ats"), 25)
+    cut = cut_texts(names, schema, full.join(repeated(keyed), "row", "left").select(*names, "ats", "repeats"), 25)
     left = cut.where("n_removed = 0 OR text <> ''")
     if "n_chars" not in names:
         return left.select(*names)

@@ -7,13 +7,23 @@ therefore moves the chunk borders near it and no others. Long stretches without
 border are cut every ``LONGEST`` bytes.
 
 Chunks are compared by digest over all documents. Of equal chunks the first one,
-in order of document id and position, stays; runs of repeated chunks that hold at
-least ``least_words`` words are removed, so that chance repeats of single chunks
-leave a text alone.
-
-The rows that are shuffled are digests with positions, not texts. Digests are
-summed before they are shuffled, and the join that marks the later copies is one
-that Spark can split at hot keys.
+in order of document id and position, stays, and the others are seeds. A passage may
+hold no whole chunk, or only short ones that repeat by chance elsewhere, so stretches
+of ``SPAN`` bytes without a chunk of ``GRAM`` bytes give one more seed: of their grams
+of ``GRAM`` bytes the one with the least hash. Any two copies of ``SPAN`` bytes or more
+therefore share a seed of ``GRAM`` bytes or more. A seed leads to its first copy only;
+a passage is missed if all its seeds stand still earlier by chance.
+
+Seeds that follow each other in both texts form a run. Each run is extended to both
+sides, byte by byte, as far as the text around its first copy agrees: over at most
+``CONTEXT`` bytes at first, and over eight times as many in each further round for the
+few runs that agree to the end of that, until none does. Extended runs that touch are one, and those of at least
+``least_words`` words are removed, so that chance repeats leave a text alone.
+
+The rows that are shuffled are digests with positions, and the bytes beside the first
+copies, once for each place. Digests are summed before they are shuffled, and the
+joins that mark and extend the later copies are such that Spark can split them at hot
+keys.
 
 Nulls and ties: a null text is empty and keeps nothing; rows equal in id and text
 count as one document and get equal results; equal texts of different ids follow
@@ -29,22 +39,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passed_on, row_key, slices, texts_of
+from .common import passed_on, row_key, slices, table, texts_of
 
 #: Bytes of a chunk on average and at most.
 MEAN, LONGEST = 40, 256
 
-#: Words (white space and a word) that a run of repeated chunks must hold to be removed.
+#: Words (white space and a word) that an extended run must hold to be removed.
 LEAST_WORDS = 25
 
+#: Bytes of a gram, and of the stretches of which each shares a chunk or a gram with its copies; 51 words have more.
+GRAM, SPAN = 32, 95
+
+#: Bytes to each side of a run that are compared in the first round.
+CONTEXT = 256
+
 
 def gear_table() -> np.ndarray:
     """Sixteen random bits for each byte value, from a fixed seed."""
     return np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 16, 256).astype(np.uint16)
 
 
-def borders(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the chunks of texts given one after the other, and the text of each chunk. Empty texts have none."""
+def gear_cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a chunk ends behind each byte by its hash, which the sixteen bytes up to there decide."""
     h = gear_table()[data]
     start = np.concatenate([[0], ends[:-1]])
     for step in (1, 2, 4, 8):  # h over 2, 4, 8, 16 bytes; bytes of the text before are shifted out or ignored below
@@ -57,6 +73,13 @@ def borders(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     np.add.at(fresh, np.minimum(start, len(data)), 1)
     np.add.at(fresh, np.minimum(np.minimum(start + 15, ends), len(data)), -1)
     cut &= np.cumsum(fresh[:-1]) <= 0
+    return cut
+
+
+def borders(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of texts given one after the other, and the text of each chunk. Empty texts have none."""
+    cut = gear_cuts(data, ends)
+    start = np.concatenate([[0], ends[:-1]])
     full = ends[ends > start] - 1
     cut[full] = True
     places = np.flatnonzero(cut) + 1
@@ -69,29 +92,63 @@ def borders(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return places, np.searchsorted(ends, places - 1, side="right")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def chunks(keyed: DataFrame) -> DataFrame:
-    """(row, doc_id, at, digest) of every chunk; ``at`` is its first byte."""
+def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First bytes of the grams that are seeds: the least of each stretch of ``SPAN`` bytes without a chunk of ``GRAM`` bytes."""
+    size, wide = len(data), SPAN - GRAM + 1  # grams of a stretch; a power of two
+    if size < SPAN:
+        return np.zeros(0, np.int64)
+    h = np.random.Generator(np.random.PCG64(20240608)).integers(0, 1 << 32, 256, np.uint32)[data]
+    step = 1
+    while step < GRAM:  # h over 2, 4, ... bytes from each place on
+        h = h[:-step] * np.uint32(pow(0x9E3779B1, step, 1 << 32)) + h[step:]
+        step *= 2
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    h |= np.uint32(1)  # 0 stands for stretches that give no seed
+    least, step = h, 1
+    while step < wide:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    cuts = np.flatnonzero(gear_cuts(data, ends)) + 1
+    long = np.flatnonzero(np.diff(cuts) >= GRAM)
+    began = np.full(size + 1, -1)
+    began[cuts[long + 1]] = cuts[long]
+    began = np.maximum.accumulate(began)[SPAN:]  # of the last long chunk that ends in or before a stretch
+    first = np.arange(len(least))
+    fits = first + SPAN <= np.repeat(ends, np.diff(ends, prepend=0))[: len(least)]
+    least = np.where(fits & (began < first + 16), least, np.uint32(0))
+    most, step = np.concatenate([np.zeros(wide - 1, np.uint32), least, np.zeros(wide - 1, np.uint32)]), 1
+    while step < wide:
+        most = np.maximum(most[:-step], most[step:])
+        step *= 2
+    chosen = most == h
+    # inside a stretch of one byte all grams are equal: its first and last will do
+    same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+    return np.flatnonzero(chosen & ~(same[:-1] & same[1:]))
+
+
+def seeds(keyed: DataFrame) -> DataFrame:
+    """(row, doc_id, at, size, digest) of every chunk and of the grams; ``at`` is the first byte, ``size`` is below zero for grams."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, held in slices(batch):
+            for first, held in slices(batch, most=1_000_000):
                 data, ends = flat_bytes(held)
                 places, of = borders(data, ends)
                 begin = np.concatenate([[0], places[:-1]]) if len(places) else places
+                more = grams(data, ends)
                 raw = data.tobytes()
-                digests = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), places.tolist())), np.uint64, len(places))
-                at = begin - np.concatenate([[0], ends[:-1]])[of] if len(places) else begin
+                digests = np.concatenate([
+                    np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), places.tolist())), np.uint64, len(places)),
+                    np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + GRAM], 1) for a in more.tolist()), np.uint64, len(more)),
+                ])
+                sizes = np.concatenate([places - begin, np.full(len(more), -GRAM)]).astype(np.int32)
+                of = np.concatenate([of, np.searchsorted(ends, more, side="right")]).astype(np.int64)
+                at = np.concatenate([begin, more]).astype(np.int64) - np.concatenate([[0], ends[:-1]])[of]
                 which = pa.array(of + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(at.astype(np.int64)), pa.array(digests.view(np.int64))], names=["row", "doc_id", "at", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(at.astype(np.int64)), pa.array(sizes), pa.array(digests.view(np.int64))], names=["row", "doc_id", "at", "size", "digest"])
 
-    return keyed.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, at long, digest long")
+    return keyed.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, at long, size int, digest long")
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,20 +164,136 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], np.uint8)[begin : begin + int(ends[-1])], ends
 
 
+def _merged(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First members of the runs that touching spans of one group form, and the ends of the runs; sorted by group and start."""
+    base = group.astype(np.int64) << 40
+    far = np.maximum.accumulate(base + stop)
+    new = np.concatenate([[True], (base + start)[1:] > far[:-1]])[: len(group)]
+    first = np.flatnonzero(new)
+    return first, (far - base)[np.concatenate([first[1:], [len(group)]]) - 1] if len(first) else first
+
+
+RUN = "frow long, shift long, start long, stop long"
+
+
+def runs_of(later: DataFrame) -> DataFrame:
+    """(row, ats, runs): the repeated chunks of a row, and the runs of seeds that follow each other in both texts."""
+    held = later.groupBy("row").agg(F.collect_set(F.struct("frow", "shift", "at", "size")).alias("s"))  # bounded by the row's own text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            of = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
+            frow, shift, at, size = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+            order = np.lexsort((at, shift, frow, of))
+            of, frow, shift, at, size = (x[order] for x in (of, frow, shift, at, size))
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (frow[1:] != frow[:-1]) | (shift[1:] != shift[:-1])])[: len(of)]
+            first, stop = _merged(np.cumsum(new), at, at + np.abs(size))
+            fields = [pa.array(frow[first]), pa.array(shift[first]), pa.array(at[first]), pa.array(stop)]
+            runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(batch) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, ["frow", "shift", "start", "stop"]))
+            chunk = size > 0
+            ats = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[chunk], np.arange(len(batch) + 1)).astype(np.int32)), pa.array(at[chunk]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ats, runs], names=["row", "ats", "runs"])
+
+    return held.mapInArrow(run, f"row long, ats array<long>, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def contexts(keyed: DataFrame, sides: DataFrame, size: int) -> DataFrame:
+    """(frow, pos, side, near): the bytes before (side 0) or from (side 1) a place of a text, at most ``size``; each place once."""
+    wanted = sides.groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, side = batch.column(2).flatten().flatten()
+            ends = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            places = list(zip(pos.to_pylist(), side.to_pylist()))
+            for k in range(len(batch)):
+                body, own = batch.column(1)[k].as_py().encode(), slice(int(ends[k]), int(ends[k + 1]))
+                near = [body[p : p + size] if after else body[max(0, p - size) : p] for p, after in places[own]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(near), pa.int64())), pos[own], side[own], pa.array(near, pa.binary())], names=["frow", "pos", "side", "near"])
+
+    texts = keyed.select(F.col("row").alias("frow"), "text").join(wanted, "frow").select("frow", "text", "wanted")
+    found = texts.mapInArrow(run, "frow long, pos long, side int, near binary")
+    return found.groupBy("frow", "pos", "side").agg(F.first("near").alias("near"))  # rows equal in id and text
+
+
+def agreed(a: bytes, b: bytes) -> int:
+    """Bytes that two strings share from their start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def extend(keyed: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """(row, runs): runs (row, frow, shift, start, stop, open) extended by at most ``size`` bytes at their open sides.
+
+    ``open`` is 1 if the left side may go on, 2 if the right one may, 3 for both.
+    """
+    ways = [F.when(F.col("open").bitwiseAND(1 << k) != 0, F.struct((F.col(c) + F.col("shift")).alias("pos"), F.lit(k).alias("side"))) for k, c in enumerate(("start", "stop"))]
+    sides = runs.select("row", "frow", "shift", "start", "stop", F.inline(F.filter(F.array(*ways), lambda x: x.isNotNull())))
+    near = sides.join(contexts(keyed, sides, size), ["frow", "pos", "side"])
+    held = near.groupBy("row").agg(F.collect_list(F.struct("frow", "shift", "start", "stop", "side", "near")).alias("sides"))  # as many as the row has runs
+
+    def longer(body: bytes, sides: list[tuple]) -> list[list]:
+        out = []
+        for frow, shift, a, b, side, near in sides:
+            n = agreed(body[b : b + size], near) if side else agreed(body[max(0, a - size) : a][::-1], near[::-1])
+            out.append([frow, shift, a, b + n, 2 * (n == size)] if side else [frow, shift, a - n, b, int(n == size)])
+        joined: list[list] = []
+        for x in sorted(out):
+            last = joined[-1] if joined else None
+            if last and last[:2] == x[:2] and x[2] <= last[3]:
+                # only the outer ends of what is joined can be open
+                left = (last[4] | x[4] if x[2] == last[2] else last[4]) & 1
+                right = (x[4] if x[3] > last[3] else last[4] | x[4] if x[3] == last[3] else last[4]) & 2
+                last[3:] = max(last[3], x[3]), left | right
+            else:
+                joined.append(x)
+        return joined
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(2)
+            ends = held.offsets.to_numpy() - held.offsets[0].as_py()
+            sides = list(zip(*(x.to_pylist() for x in held.flatten().flatten())))
+            found, counts = [], [0]
+            for k in range(len(batch)):
+                found += longer(batch.column(1)[k].as_py().encode(), sides[int(ends[k]) : int(ends[k + 1])])
+                counts.append(len(found))
+            names = ["frow", "shift", "start", "stop", "open"]
+            fields = [pa.array([x[k] for x in found], pa.int32() if k == 4 else pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names))], names=["row", "runs"])
+
+    found = keyed.select("row", "text").join(held, "row").select("row", "text", "sides").mapInArrow(run, f"row long, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')},open:int>>")
+    return found.dropDuplicates(["row"])  # rows equal in id and text
+
+
 def repeated(keyed: DataFrame) -> DataFrame:
-    """(row, ats): the first bytes of the chunks of a row of which an earlier copy exists."""
-    found = chunks(keyed)
+    """(row, ats, repeats): the chunks of a row of which an earlier copy exists, and the extended runs."""
+    found = seeds(keyed)
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("row").alias("r"), F.col("at").alias("p"))
     firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = found.join(firsts, "digest").where(place != F.col("first"))
-    return later.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("ats"))  # bounded by the row's own text
+    later = found.join(firsts, "digest").where(place != F.col("first")).select("row", F.col("first.r").alias("frow"), (F.col("first.p") - F.col("at")).alias("shift"), "at", "size")
+    runs = table(runs_of(later), "runs")
+    spans, left, size = runs.select("row", "ats"), runs.select("row", F.inline("runs"), F.lit(3).alias("open")), CONTEXT
+    none = F.array().cast("array<struct<start:long,stop:long>>")
+    repeats = none
+    while True:
+        more = table(extend(keyed, left, size), "extended")
+        ends = more.select("row", F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("more"))
+        spans = spans.join(ends, "row", "left").select("row", "ats", F.concat(repeats, F.coalesce("more", none)).alias("repeats"))
+        left = more.select("row", F.inline("runs")).where("open <> 0")
+        if left.isEmpty():
+            return spans
+        size, repeats = 8 * size, F.col("repeats")
 
 
 def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: int) -> DataFrame:
-    """Takes the runs out of the texts of ``joined`` (its columns, row, ats); adds n_chunks, n_repeated, n_removed and spans."""
+    """Takes the runs out of the texts of ``joined`` (its columns, ats, repeats); adds n_chunks, n_repeated, n_removed and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_at, ats_at = (columns + ["ats"]).index("text"), len(columns)
+        text_at, ats_at = columns.index("text"), len(columns)
         for batch in batches:
             for first, held in slices(batch):
                 data, ends = flat_bytes(held)
@@ -131,8 +304,9 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
                 for k in range(len(held)):
                     begin = int(ends[k - 1]) if k else 0
                     body, ats = raw[begin : int(ends[k])], batch.column(ats_at)[first + k].as_py()
+                    wider = batch.column(ats_at + 1)[first + k].as_py()
                     stops = (places[bounds[k] : bounds[k + 1]] - begin).tolist()
-                    out = _runs(body, stops, ats or [], least_words)
+                    out = _runs(body, stops, ats or [], wider or [], least_words)
                     kept, last = [], 0
                     for a, b in out:
                         kept.append(body[last:a])
@@ -146,28 +320,31 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n_chunks, pa.int64()), pa.array(n_repeated, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=[*columns, *names])
 
     names = ["n_chunks", "n_repeated", "n_removed", "spans"]
-    return joined.select(*columns, "ats").mapInArrow(run, f"{schema}, n_chunks long, n_repeated long, n_removed long, spans array<struct<start:long,end:long>>")
+    return joined.select(*columns, "ats", "repeats").mapInArrow(run, f"{schema}, n_chunks long, n_repeated long, n_removed long, spans array<struct<start:long,end:long>>")
 
 
-def _runs(body: bytes, stops: list[int], ats: list[int], least_words: int) -> list[tuple[int, int]]:
-    """Runs of repeated chunks with enough words, widened inwards to whole characters."""
-    if not ats:
+def _runs(body: bytes, stops: list[int], ats: list[int], spans: list[dict], least_words: int) -> list[tuple[int, int]]:
+    """Repeated chunks and extended runs, joined where they touch, with enough words, narrowed to whole characters."""
+    if not spans:
         return []
-    marked, out, at = set(ats), [], 0
+    marked, pieces, at, n = set(ats), [(x["start"], x["stop"]) for x in spans], 0, len(body)
     for stop in stops:
         if at in marked:
-            if out and out[-1][1] == at:
-                out[-1][1] = stop
-            else:
-                out.append([at, stop])
+            pieces.append((at, stop))
         at = stop
+    out: list[list[int]] = []
+    for a, b in sorted(pieces):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
     kept = []
     for a, b in out:
         while a < b and body[a] & 0xC0 == 0x80:
             a += 1
-        while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
+        while b > a and b < n and body[b] & 0xC0 == 0x80:
             b -= 1
-        whole = a == 0 and b == len(body)
+        whole = a == 0 and b == n and len(marked) == len(stops)
         if b > a and (whole or len(body[a:b].split()) >= least_words):
             kept.append((a, b))
     return kept
@@ -180,5 +357,5 @@ def dedup_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     ``spans`` are byte ranges of the UTF-8 text as it was.
     """
     keyed = texts_of(docs).withColumn("row", row_key())
-    joined = keyed.join(repeated(keyed), "row", "left").select("doc_id", "text", "ats")
+    joined = keyed.join(repeated(keyed), "row", "left").select("doc_id", "text", "ats", "repeats")
     return cut_texts(["doc_id", "text"], "doc_id long, text string", joined, least_words)

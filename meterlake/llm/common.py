@@ -51,13 +51,13 @@ def spread(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def slices(batch: pa.RecordBatch, text_col: str = "text"):
-    """(first row, texts as an Arrow array) of a batch, about ``SLICE_CHARS`` bytes at a time."""
+def slices(batch: pa.RecordBatch, text_col: str = "text", most: int = SLICE_CHARS):
+    """(first row, texts as an Arrow array) of a batch, about ``most`` bytes at a time."""
     texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string())
     if not len(texts):
         return
     sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-    cuts = np.unique(np.searchsorted(sizes, np.arange(SLICE_CHARS, int(sizes[-1]) + SLICE_CHARS, SLICE_CHARS)) + 1)
+    cuts = np.unique(np.searchsorted(sizes, np.arange(most, int(sizes[-1]) + most, most)) + 1)
     cuts = [0, *np.minimum(cuts, len(texts)).tolist(), len(texts)]
     for first, end in zip(cuts, cuts[1:]):
         if end > first:

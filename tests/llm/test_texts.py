@@ -155,6 +155,36 @@ def test_passages_are_removed_once_and_clean_texts_stay(odd_docs, odd_rows):
             assert len(body) - sum(s["end"] - s["start"] for s in r["spans"]) == len(r["text"].encode())
 
 
+@pytest.mark.parametrize("kind, longest", [("abcdefgh", 5), ("abcdefgh", 1), ("abé漢", 3)])
+def test_passages_of_51_words_go_wherever_they_stand(spark, kind, longest):
+    g = random.Random(8)
+
+    def some(n, kind=kind):
+        return " ".join("".join(g.choice(kind) for _ in range(g.randint(1, longest))) for _ in range(n))
+
+    rows, planted = [], {}
+    for k in range(300):
+        passage, sides = some(51), [some(g.randint(0, 60), "0123456789") for _ in range(4)]
+        rows += [(k, f"{sides[0]}<{passage}>{sides[1]}"), (1000 + k, f"{sides[2]}[{passage}]{sides[3]}")]
+        planted[1000 + k] = (f"{sides[2]}[", passage)
+    found = {r["doc_id"]: r for r in chunk_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, (before, passage) in planted.items():
+        # a short chunk that repeats by chance and touches the passage goes with it
+        (span,) = found[i]["spans"]
+        a, b = len(before.encode()), len((before + passage).encode())
+        assert a - 40 <= span["start"] <= a and b <= span["end"] <= b + 40
+    assert sum(found[i]["n_removed"] == len(passage.encode()) for i, (_, passage) in planted.items()) > 0.95 * len(planted)
+    assert all(found[k]["n_removed"] == 0 and found[k]["text"] == text for k, text in rows if k < 1000)
+
+
+def test_runs_are_extended_past_chunks_with_other_first_copies(spark):
+    g = random.Random(9)
+    middle, head = words(g, 900), words(g, 12)
+    rows = [(1, "X" + middle + "Y"), (2, "<" + head + middle + ">"), (3, "[" + head + middle + "]")]
+    found = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1], found[2], found[3]) == (rows[0][1], "<" + head + ">", "[]")
+
+
 def test_chunk_borders_resist_insertions():
     g = random.Random(7)
     text = words(g, 2000).encode()
