@@ -11,7 +11,11 @@ Subtracting two tables cell by cell leaves the digests that only one side has.
 Peeling takes them out: a cell with count +-1 whose check value fits holds a
 single digest, which is removed from its other cells, and so on. If something is
 left, the tables were too small, and larger ones (digests dealt by hash into
-parts of a table each) are built and subtracted, twice as many parts each time.
+parts of a table each) are built and subtracted. A part that fails is tried again
+by itself, with twice as many cells and other places each time, and in the end its
+two sets are compared directly, so that the differences are always found.
+
+Texts whose piece lengths lie further apart are compared at the larger one.
 
 Everything is DataFrame expressions inside one row; the only shuffle deals
 documents into ranges of ids, so that each can see the text that follows it.
@@ -33,7 +37,7 @@ from .common import order_cuts, range_group, spread, texts_of
 #: Cells of each of the three sub-tables of a fingerprint, and of a part of a larger sketch.
 CELLS, PART_CELLS = 8, 24
 
-#: Digests for each part of a larger sketch, and how often it is doubled.
+#: Digests for each part of a larger sketch, and how often a part is tried.
 PER_PART, RETRIES = 24, 3
 
 ROUNDS = 12
@@ -114,29 +118,29 @@ def _complete(peeled: Column) -> Column:
 
 
 def differences(a: Column, b: Column, first: Column) -> Column:
-    """Digests that only one of the sets ``a`` and ``b`` has, as (key, side); ``first`` is the difference of their fingerprints.
-
-    Null if even the largest table could not be peeled.
-    """
+    """Digests that only one of the sets ``a`` and ``b`` has, as (key, side); ``first`` is the difference of their fingerprints."""
     kind = "array<struct<k:bigint,s:int>>"
-    peeled = peel(first, CELLS, 0)
-    size = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / PER_PART).cast("int"))
+    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / PER_PART).cast("int"))
+
+    def found(peeled: Column) -> Column:
+        return _let(peeled, lambda p: F.when(_complete(p), p["found"])).cast(kind)
 
-    def larger(turn: int) -> Column:
-        parts = size * (1 << turn)
+    def only(mine: Column, other: Column, side: int) -> Column:
+        return F.transform(F.array_except(mine, other), lambda k: F.struct(k.alias("k"), F.lit(side).alias("s")))
 
-        def part(p: Column) -> Column:
-            def own(keys: Column) -> Column:
-                return F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit("part"), F.lit(turn)), parts).cast("int") == p)
+    def part(p: Column) -> Column:
+        def own(keys: Column) -> Column:
+            return F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit("part")), parts).cast("int") == p)
 
-            sides = F.struct(own(a).alias("a"), own(b).alias("b"))
-            return _let(sides, lambda two: peel(subtract(sketch(two["a"], PART_CELLS, turn + 1), sketch(two["b"], PART_CELLS, turn + 1)), PART_CELLS, turn + 1))
+        def tries(two: Column) -> Column:
+            sized = ((PART_CELLS << turn, turn + 1) for turn in range(RETRIES))
+            peeled = (found(peel(subtract(sketch(two["a"], cells, salt), sketch(two["b"], cells, salt)), cells, salt)) for cells, salt in sized)
+            return F.coalesce(*peeled, F.concat(only(two["a"], two["b"], 1), only(two["b"], two["a"], -1)).cast(kind))
 
-        done = F.transform(F.sequence(F.lit(0), parts - 1), part)
-        return _let(done, lambda all_: F.when(F.forall(all_, _complete), F.flatten(F.transform(all_, lambda d: d["found"]))))
+        return _let(F.struct(own(a).alias("a"), own(b).alias("b")), tries)
 
-    first_try = _let(peeled, lambda p: F.when(_complete(p), p["found"]))
-    return F.coalesce(first_try.cast(kind), *(larger(t).cast(kind) for t in range(RETRIES)))
+    larger = F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), part))
+    return F.coalesce(found(peel(first, CELLS, 0)), larger)
 
 
 def likeness(a: Column, b: Column, found: Column) -> Column:
@@ -196,16 +200,22 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     base = followed(docs).withColumn("_edited", edited(F.col("text"), F.col("next_text")))
     names = {"a": "text", "e": "_edited", "n": "next_text"}
     levels = base.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), *names.values(), *(level_of(F.char_length(c)).alias(f"{k}_level") for k, c in names.items()))
-    sets = levels.select("doc_id", "n_chars", "edited_sha256", *(f"{k}_level" for k in names), *(pieces(F.col(c), F.col(f"{k}_level") + up).alias(f"{k}{up}") for k, c in names.items() for up in (0, 1)))
-    tables = sets.select("*", *(sketch(F.col(f"{k}{up}"), CELLS, 0).alias(f"{k}{up}_cells") for k in names for up in (0, 1)))
+    # of texts with distant levels, the pieces of the shorter one at the level of the longer one
+    mine, theirs = F.col("a_level"), F.col("n_level")
+    far = F.when(mine > theirs + 1, pieces(F.col("next_text"), mine)).when(theirs > mine + 1, pieces(F.col("text"), theirs))
+    sets = levels.select("doc_id", "n_chars", "edited_sha256", *(f"{k}_level" for k in names), *(pieces(F.col(c), F.col(f"{k}_level") + up).alias(f"{k}{up}") for k, c in names.items() for up in (0, 1)), far.alias("far"))
+    tables = sets.select("*", sketch(F.col("far"), CELLS, 0).alias("far_cells"), *(sketch(F.col(f"{k}{up}"), CELLS, 0).alias(f"{k}{up}_cells") for k in names for up in (0, 1)))
 
     def compared(other: str) -> Column:
         """Struct of both sets and the fingerprints' difference at the level that both have."""
         ways = None
-        for mine, theirs in ((0, 0), (1, 0), (0, 1)):
-            same = F.col("a_level") + mine == F.col(f"{other}_level") + theirs
-            pair = F.struct(F.col(f"a{mine}").alias("a"), F.col(f"{other}{theirs}").alias("b"), subtract(F.col(f"a{mine}_cells"), F.col(f"{other}{theirs}_cells")).alias("d"))
+        for up, down in ((0, 0), (1, 0), (0, 1)):
+            same = F.col("a_level") + up == F.col(f"{other}_level") + down
+            pair = F.struct(F.col(f"a{up}").alias("a"), F.col(f"{other}{down}").alias("b"), subtract(F.col(f"a{up}_cells"), F.col(f"{other}{down}_cells")).alias("d"))
             ways = F.when(same, pair) if ways is None else ways.when(same, pair)
+        if other == "n":
+            for longer, a, b in ((mine > theirs + 1, "a0", "far"), (theirs > mine + 1, "far", "n0")):
+                ways = ways.when(longer, F.struct(F.col(a).alias("a"), F.col(b).alias("b"), subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")).alias("d")))
         return ways
 
     pairs = tables.select("*", compared("e").alias("_e"), compared("n").alias("_n"))

@@ -223,6 +223,15 @@ def test_fingerprints(odd_docs, odd_rows):
     assert len(by_text[0]) == 1
 
 
+def test_differences_of_many_lines_and_distant_texts(spark):
+    g = random.Random(10)
+    lines = [f"line {k} {words(g, 2)}" for k in range(2600)]
+    texts = ["\n".join(lines[:1800]), "\n".join(lines[1300:]), "\n".join(lines[2590:])]
+    found = sorted(fingerprints.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r["near_next"] for r in found] == pytest.approx([500 / 2600, 10 / 1300, 0.0])
+    assert all(r["n_edited_differences"] >= 0 for r in found)
+
+
 def test_licenses_of_odd_rows_and_frames(spark, odd_docs, no_docs):
     rows = [(100, "Some words.\nThis work is licensed under the GNU General Public License, version 3."), (101, "Released under the MIT License.\n" + "plain words " * 50), (102, "I renewed my fishing license yesterday."), (103, "All rights reserved."), (104, "Licensed under CC BY-NC 4.0.\nAll rights reserved.")]
     found = {r["doc_id"]: r for r in licenses.scan_licenses(odd_docs.select("doc_id", "text", "row").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)).collect()}
