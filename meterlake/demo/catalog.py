@@ -28,6 +28,8 @@ from meterlake.sources import amp, claude, codex, opencode, pi, read_usage, unio
 from meterlake.sources.prices import default_prices, merge_prices
 from meterlake.streaming.folder import refresh, watched_usage
 from meterlake.streaming.live import read_meters, start_watch
+from meterlake.streaming.retract import dedup_changes, settled_meters, start_exact_watch, state_conf
+from meterlake.streaming.tail import tail_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +126,30 @@ def _growing_logs(events: DataFrame) -> DataFrame:
     return watched_usage(spark, table)
 
 
+def _tailed(report) -> Query:
+    """The report by a watch that tails real log files and keeps the first copy of each record exactly.
+
+    The files with the later half of the names come first, then the beginnings of the other
+    files, then their rest: copies that win arrive after those they replace.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pin_utc(spark)
+        state_conf(spark)
+        lines = stage(wire.claude_lines(read_events(spark, sf_dir)))
+        middle = lines.agg(F.percentile_approx("_ord", 0.5), F.percentile_approx(F.ascii(F.substring("_file", -7, 1)), 0.5)).first()
+        late, early = F.ascii(F.substring("_file", -7, 1)) > (middle[1] or 0), F.col("_ord") < (middle[0] or 0)
+        scratch = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
+        folder = None
+        for part in (late, late | early, F.lit(True)):
+            folder = wire.write_logs(lines.where(part), folder)
+            records = claude.records(tail_lines(spark, folder, f"{scratch}/tail"))
+            start_exact_watch(dedup_changes(records), report, f"{scratch}/table", f"{scratch}/checkpoint").awaitTermination()
+        return flat(report.from_meters(settled_meters(spark, f"{scratch}/table", report), default_prices(spark)))
+
+    return run
+
+
 def _read_files(provider: str, lines: Callable[[DataFrame], DataFrame], deep: bool = False) -> Query:
     """The events as real log files, read by the provider's reader."""
 
@@ -334,5 +360,6 @@ QUERIES: dict[str, Query] = {
     "stream_sessions": _stream_query(reports.session_report()),
     "stream_blocks": _stream_query(reports.BlockReport(AS_OF)),
     "stream_blocks_below_an_hour": _batches_query(reports.BlockReport(AS_OF, hours=0.25)),
+    "stream_tail_sessions": _tailed(reports.session_report()),
     "stream_claude_dedup": _wire_query(lambda e: _usage_columns(_growing_logs(e))),
 }

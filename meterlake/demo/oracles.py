@@ -453,3 +453,16 @@ x AS (SELECT q.session_id, coalesce(s.cost, 0) AS cost, s.began,""").replace(
 ORACLES["daily_staged"] = ORACLES["daily"]
 ORACLES["blocks_staged"] = ORACLES["blocks_global"]
 ORACLES["stream_by_instance"] = ORACLES["daily_by_instance"]
+
+# Reports over the deduplicated records of the log files: their usage takes the place of ``u``.
+_KEPT_USAGE = f"""{_claude_records().removeprefix('WITH ')},
+u2 AS (SELECT * FROM kept WHERE event_id % 31 <> 0 AND event_id % 19 <> 0 AND event_id % 23 <> 0 AND event_id % 29 <> 0)"""
+
+
+def _over_logs(sql: str) -> str:
+    body = sql.replace(USAGE, _KEPT_USAGE, 1)
+    head, tail = body.split("u2 AS", 1)
+    return f"{head}u2 AS{tail.replace('FROM u)', 'FROM u2)').replace('FROM u LEFT', 'FROM u2 u LEFT')}"
+
+
+ORACLES["stream_tail_sessions"] = _over_logs(ORACLES["sessions"])

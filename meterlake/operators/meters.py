@@ -21,6 +21,9 @@ from meterlake.schemas import MONEY, TOKENS
 UNPRICED = [f"unpriced_{name}" for name in TOKENS]
 METERS = [*TOKENS, *UNPRICED, "logged_cost", "n_entries", "n_logged", "first_ts", "last_ts", "first_arrival"]
 
+#: Further meter of signed changes: how many entries were taken back from the group.
+TAKEN_BACK = "n_taken_back"
+
 
 def compact(usage: DataFrame, **keys: Column | str) -> DataFrame:
     """Sum usage per ``keys`` and model.
@@ -28,26 +31,54 @@ def compact(usage: DataFrame, **keys: Column | str) -> DataFrame:
     ``unpriced_*`` are the tokens of entries without a logged cost. Meters that
     the report does not use are removed by the optimizer.
     """
+    return usage.groupBy(*_groups(keys)).agg(*_sums(), F.count("*").alias("n_entries"), F.count("total_cost").alias("n_logged"), *_times())
+
+
+def compact_changes(changes: DataFrame, **keys: Column | str) -> DataFrame:
+    """``compact`` of rows with a ``sign``: +1 for an entry that came, -1 for one that is taken back.
+
+    Times are those of all entries that came, also of those taken back later.
+    """
+    sign = F.col("sign")
+    logged = F.when(F.col("total_cost").isNull(), 0).otherwise(sign)
+    return changes.groupBy(*_groups(keys)).agg(
+        *_sums(sign), F.sum(sign).alias("n_entries"), F.sum(logged).alias("n_logged"), *_times(sign),
+        F.count_if(sign < 0).alias(TAKEN_BACK),
+    )
+
+
+def _groups(keys: dict[str, Column | str]) -> list[Column]:
     columns = [(F.col(value) if isinstance(value, str) else value).alias(name) for name, value in keys.items()]
+    return columns if "model" in keys else [*columns, F.col("model")]
+
+
+def _sums(sign: Column | None = None) -> list[Column]:
+    def signed(value: Column) -> Column:
+        return value if sign is None else F.when(sign > 0, value).otherwise(-value)
+
     no_cost = F.col("total_cost").isNull()
-    sums = [F.sum(name).alias(name) for name in TOKENS]
-    sums += [F.sum(F.when(no_cost, F.col(name)).otherwise(F.lit(0))).alias(f"unpriced_{name}") for name in TOKENS]
-    if "model" not in keys:
-        columns.append(F.col("model"))
-    return usage.groupBy(*columns).agg(
-        *sums,
-        F.sum(F.col("total_cost").cast(MONEY)).alias("logged_cost"),
-        F.count("*").alias("n_entries"),
-        F.count("total_cost").alias("n_logged"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.min(arrival()).alias("first_arrival"),
-    )
+    return [
+        *[F.sum(signed(F.col(name))).alias(name) for name in TOKENS],
+        *[F.sum(F.when(no_cost, signed(F.col(name))).otherwise(F.lit(0))).alias(f"unpriced_{name}") for name in TOKENS],
+        F.sum(signed(F.col("total_cost").cast(MONEY))).alias("logged_cost"),
+    ]
+
+
+def _times(sign: Column | None = None) -> list[Column]:
+    def of_new(value: Column) -> Column:
+        return value if sign is None else F.when(sign > 0, value)
+
+    return [
+        F.min(of_new(F.col("ts"))).alias("first_ts"),
+        F.max(of_new(F.col("ts"))).alias("last_ts"),
+        F.min(of_new(arrival())).alias("first_arrival"),
+    ]
 
 
 def merge_meters(meters: DataFrame, *keys: str) -> DataFrame:
     """Adds meters up, per model and ``keys`` (by default all keys they have)."""
-    chosen = list(keys) or [name for name in meters.columns if name not in METERS]
+    names = [*METERS, TAKEN_BACK] if TAKEN_BACK in meters.columns else METERS
+    chosen = list(keys) or [name for name in meters.columns if name not in names]
     if "model" not in chosen:
         chosen.append("model")
     smallest, largest = {"first_ts", "first_arrival"}, {"last_ts"}
@@ -57,7 +88,7 @@ def merge_meters(meters: DataFrame, *keys: str) -> DataFrame:
             return F.min(name).alias(name)
         return (F.max(name) if name in largest else F.sum(name).cast(meters.schema[name].dataType)).alias(name)
 
-    return meters.groupBy(*chosen).agg(*[combined(name) for name in METERS])
+    return meters.groupBy(*chosen).agg(*[combined(name) for name in names])
 
 
 def arrival() -> Column:

@@ -20,7 +20,7 @@ from meterlake.operators.blocks import (
     DEFAULT_HOURS, BlockRule, billing_blocks, blocks_from_meters,
 )
 from meterlake.operators.filters import MonthFilter, UsageFilter
-from meterlake.operators.meters import compact, merge_meters, sorted_set, summed
+from meterlake.operators.meters import compact, compact_changes, merge_meters, sorted_set, summed
 from meterlake.operators.pricing import price_meters, with_cost
 from meterlake.schemas import TOKENS, CostMode
 from meterlake.session import stage
@@ -37,6 +37,10 @@ class Report:
     def compact(self, usage: DataFrame) -> DataFrame:
         return compact(usage, **self.keys())
 
+    def compact_changes(self, changes: DataFrame) -> DataFrame:
+        """The same for entries that come and go, by their ``sign``."""
+        return compact_changes(changes, **self.keys())
+
     def run(
         self, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True,
         staged: bool = False,
@@ -131,6 +135,9 @@ class BlockReport:
     def compact(self, usage: DataFrame) -> DataFrame:
         return compact(usage, **BlockRule(self.hours, self.keys).compact_keys("session_id", "project"))
 
+    def compact_changes(self, changes: DataFrame) -> DataFrame:
+        return compact_changes(changes, **BlockRule(self.hours, self.keys).compact_keys("session_id", "project"))
+
     def run(
         self, usage: DataFrame, prices: DataFrame, mode: CostMode | str = CostMode.AUTO, strict: bool = True,
         staged: bool = False,

@@ -55,6 +55,11 @@ def dedup_key(message_id: Column, request_id: Column) -> Column:
 
 
 def valid_usage(rows: DataFrame) -> DataFrame:
+    return as_usage(rows).where("valid").select(*USAGE_COLUMNS)
+
+
+def as_usage(rows: DataFrame) -> DataFrame:
+    """Usage columns, the other columns of the records that dedup needs, and whether the record is ``valid`` usage."""
     ts = parse_rfc3339(F.col("timestamp"))
     model = F.col("message.model")
     usage = F.col("message.usage")
@@ -67,7 +72,6 @@ def valid_usage(rows: DataFrame) -> DataFrame:
     generated = F.concat_ws("-", F.lit("generated"), F.unix_seconds("ts").cast("string"), model)
     return (
         rows.withColumn("ts", ts)
-        .where(valid)
         .select(
             F.lit("claude").alias("provider"),
             F.coalesce("sessionId", generated).alias("session_id"),
@@ -82,8 +86,9 @@ def valid_usage(rows: DataFrame) -> DataFrame:
             F.col("uuid").alias("instance_id"),
             "_file",
             "_ord",
+            "dedup_key",
+            valid.alias("valid"),
         )
-        .select(*USAGE_COLUMNS)
     )
 
 

@@ -7,9 +7,9 @@ Every report, also those that no single streaming aggregation can express
 (active days, billing blocks), is exact for all lines read so far, and a late
 line simply counts in the next refresh.
 
-Each micro-batch writes a folder named after its batch id and overwrites it on
-replay, so a restarted query or a lost executor neither loses nor repeats
-entries.
+Each micro-batch is committed to the meter table once, by its batch id, so a
+restarted query or a lost executor neither loses nor repeats entries. The table
+merges its folders as they get many (``streaming/store.py``).
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterlake.functions.time import parse_rfc3339
-from meterlake.operators.meters import compact
+from meterlake.operators.meters import compact, merge_meters
 from meterlake.plans.reports import BlockReport, Report
 from meterlake.sources import claude
+from meterlake.streaming.store import BatchStore
 
 
 def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -88,7 +89,9 @@ def start_watch(
     def absorb(batch: DataFrame, batch_id: int) -> None:
         # entries of one file must differ in their position
         numbered = batch.withColumn("_ord", F.coalesce("_ord", F.monotonically_increasing_id()))
-        report.compact(numbered).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        store = BatchStore(batch.sparkSession, table, merge_meters)
+        store.put(batch_id, report.compact(numbered))
+        store.tidy()
         if on_refresh:
             on_refresh(read_meters(batch.sparkSession, table), batch_id)
 
@@ -98,7 +101,8 @@ def start_watch(
 
 
 def read_meters(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table).drop("batch")
+    """All meters so far; there are none to read before the first micro-batch."""
+    return BatchStore(spark, table).read()
 
 
 def running_sums(usage: DataFrame, **keys) -> DataFrame:
