@@ -26,6 +26,7 @@ from meterlake.sinks.display import with_block_texts, with_display_columns
 from meterlake.sinks.documents import CLOSING, OPENING, ROWS, block_lines, daily_detailed_lines, document_lines
 from meterlake.sources import amp, claude, codex, opencode, pi, read_usage, union_usage
 from meterlake.sources.prices import default_prices, merge_prices
+from meterlake.streaming.blocks import BlockWatch, start_block_watch
 from meterlake.streaming.folder import refresh, watched_usage
 from meterlake.streaming.live import read_meters, start_watch
 from meterlake.streaming.retract import dedup_changes, settled_meters, start_exact_watch, state_conf
@@ -150,6 +151,21 @@ def _tailed(report) -> Query:
     return run
 
 
+def _block_watch(report: reports.BlockReport, result: Callable[[BlockWatch], DataFrame], batches: int = 3) -> Query:
+    """What a watch of blocks has after the events came in several shuffled micro-batches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pin_utc(spark)
+        folder = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
+        read_events(spark, sf_dir).repartition(batches, "event_id").write.parquet(f"{folder}/events")
+        files = spark.readStream.schema(read_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        changes = usage_from_events(files).withColumn("sign", F.lit(1))
+        start_block_watch(changes, report, default_prices(spark), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        return flat(result(BlockWatch(spark, f"{folder}/table", report, default_prices(spark))))
+
+    return run
+
+
 def _read_files(provider: str, lines: Callable[[DataFrame], DataFrame], deep: bool = False) -> Query:
     """The events as real log files, read by the provider's reader."""
 
@@ -361,5 +377,7 @@ QUERIES: dict[str, Query] = {
     "stream_blocks": _stream_query(reports.BlockReport(AS_OF)),
     "stream_blocks_below_an_hour": _batches_query(reports.BlockReport(AS_OF, hours=0.25)),
     "stream_tail_sessions": _tailed(reports.session_report()),
+    "stream_block_watch": _block_watch(reports.BlockReport(AS_OF, keys=("project",)), lambda w: w.current()),
+    "stream_block_maximum": _block_watch(reports.BlockReport(AS_OF), lambda w: w.historical_max()),
     "stream_claude_dedup": _wire_query(lambda e: _usage_columns(_growing_logs(e))),
 }

@@ -466,3 +466,5 @@ def _over_logs(sql: str) -> str:
 
 
 ORACLES["stream_tail_sessions"] = _over_logs(ORACLES["sessions"])
+ORACLES["stream_block_watch"] = ORACLES["blocks_by_project"]
+ORACLES["stream_block_maximum"] = ORACLES["historical_max"]

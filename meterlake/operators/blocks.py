@@ -174,7 +174,7 @@ def blocks_from_meters(
 ) -> DataFrame:
     """Blocks from priced meters. ``members`` has the sessions of each unit, ``units`` the units themselves."""
     blocks = roll_up_blocks(assign_blocks(priced, units, rule), rule)
-    blocks = _with_activity(_with_session_count(blocks, members, units, rule), rule, as_of)
+    blocks = with_activity(with_session_count(blocks, members, units, rule), rule, as_of)
     if rule.below_an_hour:
         return blocks.unionByName(_gap_rows(entry_gaps(meters, rule), rule))
     return with_gap_rows(blocks, rule)
@@ -190,7 +190,7 @@ def roll_up_blocks(priced: DataFrame, rule: BlockRule) -> DataFrame:
     )
 
 
-def _with_session_count(blocks: DataFrame, members: DataFrame, units: DataFrame, rule: BlockRule) -> DataFrame:
+def with_session_count(blocks: DataFrame, members: DataFrame, units: DataFrame, rule: BlockRule) -> DataFrame:
     """Distinct sessions per block.
 
     Counted apart from the sums: only (unit, session) pairs move for it, and
@@ -217,7 +217,7 @@ def _with_session_count(blocks: DataFrame, members: DataFrame, units: DataFrame,
     return counted.withColumn("session_count", F.coalesce("session_count", F.lit(1)))
 
 
-def _with_activity(blocks: DataFrame, rule: BlockRule, as_of: str | datetime) -> DataFrame:
+def with_activity(blocks: DataFrame, rule: BlockRule, as_of: str | datetime) -> DataFrame:
     now = instant(parse_instant(as_of))
     active = (micros_between(F.col("actual_end_time"), now) < rule.micros) & (now < F.col("end_time"))
     return (

@@ -126,10 +126,10 @@ def start_exact_watch(
 
 
 def _stores(spark: SparkSession, table: str) -> tuple[BatchStore, BatchStore]:
-    return BatchStore(spark, f"{table}/changes", _netted), BatchStore(spark, f"{table}/meters", merge_meters)
+    return BatchStore(spark, f"{table}/changes", netted), BatchStore(spark, f"{table}/meters", merge_meters)
 
 
-def _netted(changes: DataFrame) -> DataFrame:
+def netted(changes: DataFrame) -> DataFrame:
     """Without copies that came and were taken back in these changes; at most one copy comes and goes at a place."""
     place = ["_file", "_ord"]
     came, went = changes.where("sign > 0"), changes.where("sign < 0")
@@ -138,18 +138,22 @@ def _netted(changes: DataFrame) -> DataFrame:
 
 def exact_usage(spark: SparkSession, table: str) -> DataFrame:
     """The usage rows in force; equals the batch result over all lines read so far."""
-    return _netted(_stores(spark, table)[0].read()).where("sign > 0").select(*USAGE_COLUMNS)
+    return netted(_stores(spark, table)[0].read()).where("sign > 0").select(*USAGE_COLUMNS)
 
 
 def settled_meters(spark: SparkSession, table: str, report: Report | BlockReport) -> DataFrame:
     """Meters as ``report.compact`` of the batch result gives them, up to their order."""
-    stored, meters = _stores(spark, table)
-    sums = merge_meters(meters.read()).where("n_entries > 0")
+    return settled(_stores(spark, table)[1].read(), exact_usage(spark, table), report)
+
+
+def settled(meters: DataFrame, usage: DataFrame, report: Report | BlockReport) -> DataFrame:
+    """Meters of changes, added up; ``usage`` in force gives the times of groups from which something was taken back."""
+    sums = merge_meters(meters).where("n_entries > 0")
     keys = [name for name in sums.columns if name not in (*METERS, TAKEN_BACK)]
     extremes = ["first_ts", "last_ts", "first_arrival"]
     doubtful = sums.where(F.col(TAKEN_BACK) > 0).select(*[F.col(key).alias(f"_k_{key}") for key in keys])
     of_group = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
-    again = report.compact(exact_usage(spark, table)).join(doubtful, of_group, "left_semi")
+    again = report.compact(usage).join(doubtful, of_group, "left_semi")
     again = again.select(*[F.col(key).alias(f"_k_{key}") for key in keys], *[F.col(e).alias(f"_{e}") for e in extremes])
     right = [F.coalesce(f"_{e}", e).alias(e) for e in extremes]
     return sums.join(again, of_group, "left").select(*[c for c in sums.columns if c not in (*extremes, TAKEN_BACK)], *right)
