@@ -49,6 +49,9 @@ BLOCK_GRAMS, BLOCK_SETS = 1_500_000, 8192
 #: Occurrences of n-grams that are counted at a time.
 FRAGMENT = 1 << 20
 
+#: Bytes of text whose n-grams are in memory at a time.
+SLICE = 1_000_000
+
 
 #: Moves A-Z to a-z in UTF-8 bytes and every white space to a blank.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -122,9 +125,10 @@ def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarra
     """(set number, digest, mark): a digest of each fragment that has elements, in a set's step and the one below.
 
     ``mark`` is 4 * the number of digests that may be left out + 2 * (step below)
-    + (empty fragment). Empty fragments are the first to be left out; they are
-    sent only if there are more of them than spare ones, as two similar sets could
-    then have only empty ones in common.
+    + (empty fragment). Empty fragments are the first to be left out: if there are
+    at most as many as spare ones, they are not sent, and as many others fewer may be
+    left out; if there are more, they are sent, as two similar sets could
+    have only empty ones in common, and only empty ones may be left out.
     """
     sizes = np.diff(ends, prepend=0)
     of = np.repeat(np.arange(len(sizes)), sizes)
@@ -152,7 +156,8 @@ def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarra
         many = empty > spare
         send = (count > 0) | many[owner]
         digest = _mix(_mix(value + count.astype(np.uint64)) + (nth.astype(np.uint64) << np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) + step[owner].astype(np.uint64))
-        mark = 4 * np.where(many, spare, spare - empty)[owner] + 2 * below + (count == 0)
+        left_out = np.where(count == 0, spare[owner], np.maximum(spare - empty, 0)[owner])
+        mark = 4 * left_out + 2 * below + (count == 0)
         outs.append((owner[send], digest[send], mark[send].astype(np.int32)))
     if not outs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
@@ -171,7 +176,7 @@ def describe(keyed: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, held in slices(batch):
+            for first, held in slices(batch, most=SLICE):
                 h, ends = shingle_sets(held, n)
                 part = batch.slice(first, len(held))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(ends, prepend=0).astype(np.int64)), pa.array(_identity(h, ends))], names=["row", "doc_id", "n_shingles", "set"])
@@ -185,7 +190,7 @@ def meetings(keyed: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, held in slices(batch):
+            for _, held in slices(batch, most=SLICE):
                 h, ends = shingle_sets(held, n)
                 ids = _identity(h, ends)
                 distinct = np.zeros(len(ids), bool)
@@ -198,8 +203,9 @@ def meetings(keyed: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     sent = keyed.select("text").mapInArrow(send, "digest long, set long, mark int")
     often = sent.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     shared = sent.join(often, "digest").distinct()
-    # similar sets share more digests than either leaves out, so the least frequent one that they share is left out by neither
-    order = Window.partitionBy("set", F.expr("mark & 2")).orderBy(F.expr("mark & 1").desc(), F.desc("n"), "digest")
+    # Similar sets have more fragments in common than either leaves out. Both leave out their first ones in one order (empty ones,
+    # then by frequency), so the last one in common is left out by neither. Digests of one set only come last and change no rank.
+    order = Window.partitionBy("set", F.expr("mark & 3")).orderBy(F.desc("n"), "digest")
     kept = table(shared.withColumn("_nth", F.row_number().over(order)).where("_nth > mark >> 2").select("digest", "set"), "fragments")
     # the least set of a fragment is a partial aggregate; the join back can be split at hot fragments
     least = kept.groupBy("digest").agg(F.min("set").alias("b"), F.max("set").alias("top")).where("b < top").select("digest", "b")
@@ -298,20 +304,21 @@ def candidate_sets(keyed: DataFrame, classes: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, held in slices(batch):
+            for first, held in slices(batch, most=SLICE):
                 h, ends = shingle_sets(held, n)
                 part = batch.slice(first, len(held))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], binary_array(h, ends)], names=[*names, "hashes"])
 
-    met = keyed.join(classes, "row").select(*names, "text")
+    # the same plan at every size: the classes grow with the texts, so they are never broadcast
+    met = keyed.join(classes.hint("merge"), "row").select(*names, "text")
     return met.mapInArrow(run, "class long, blocks int, mine int, set long, hashes binary")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
-    """(row, doc_id, n_shingles, component_id): documents linked by n-gram similarity.
+    """(row, doc_id, n_shingles, component_id, class): documents linked by n-gram similarity.
 
     ``component_id`` is the least document id that links reach, ``row`` the key
-    of the document's id and text.
+    of the document's id and text, ``class`` the number of the group, whatever its ids; it is null for an empty set.
     """
     threshold = Fraction(threshold)
     keyed = texts_of(docs).withColumn("row", row_key())
@@ -325,4 +332,4 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction | str =
     joined = components(links).select(F.col("node").alias("set"), "component")
     classed = described.join(joined, "set", "left").withColumn("_class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set")))
     least = classed.where("_class IS NOT NULL").groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    return classed.join(least, "_class", "left").select("row", "doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    return classed.join(least, "_class", "left").select("row", "doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), F.col("_class").alias("class"))

@@ -73,6 +73,28 @@ def test_jaccard_join(spark, odd_docs, odd_rows, n, threshold):
     assert sorted(found, key=key) == sorted(brute_jaccard(rows, n, Fraction(threshold)), key=key)
 
 
+def test_pairs_alone_in_a_table(spark):
+    """A pair has nothing but itself to be frequent with; many pairs, none sharing a word with another one, behave as each alone."""
+    g = random.Random(6)
+    for n, threshold in ((4, "0.85"), (5, "0.8")):
+        rows = [(0, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (1, "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13")]
+        for k in range(2, 500, 2):
+            body = [f"p{k}.{j}" for j in range(g.randint(1, 60))]
+            other = list(body)
+            for _ in range(g.randint(0, 2)):
+                place = g.choice([0, len(other), g.randint(0, len(other))])
+                other[place : place + g.randint(0, 1)] = [f"q{k}"] * g.randint(0, 1)
+            rows += [(k, " ".join(body)), (k + 1, " ".join(other))]
+        expected = brute_jaccard(rows, n, Fraction(threshold))
+        found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, threshold)
+        assert sorted(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == sorted(expected)
+        linked = [k for k in range(0, 500, 2) if expected[k + 1][2] == k]
+        assert len(linked) > 50
+        for k in [0, *g.sample(linked, 2)]:
+            alone = jaccard.jaccard_components(spark.createDataFrame(rows[k : k + 2], "doc_id long, text string"), n, threshold)
+            assert {r["component_id"] for r in alone.collect()} == {expected[k][2], expected[k + 1][2]}
+
+
 def test_large_classes_are_compared_in_blocks(spark, monkeypatch):
     g = random.Random(3)
     base = words(g, 60).split()
