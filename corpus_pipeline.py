@@ -38,7 +38,10 @@ def _renamed(stage):
 
 @_renamed
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose best grade has a probability of one half or more."""
+    """Documents whose best grade has a probability of one half or more.
+
+    A null text is scored as an empty one; repeated rows are scored alike and all stay; an empty table stays empty.
+    """
     weights, thresholds = train(texts_of(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     schema, names = _schema(docs)
     return score(docs, weights, thresholds, schema, names).where("p_good >= 0.5").select(*names)
@@ -48,13 +51,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): the one with the least id.
 
+    A null id comes behind all others; of equal ids, or if all are null, the text with the least hash stays.
     A document without words is a group of its own. Of rows with equal id and
-    text the group keeps one.
+    text the group keeps one. An empty table stays empty.
     """
-    found = table(jaccard_components(docs, n=5, threshold="0.8").select("row", "doc_id", "n_shingles", "component_id"), "groups")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row").distinct()
+    found = table(jaccard_components(docs, n=5, threshold="0.8").select("row", "doc_id", "class"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = found.where("class IS NOT NULL").groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("_row"))
+    kept = kept.unionByName(found.where("class IS NULL").select(F.col("row").alias("_row"))).distinct()
     keyed = docs.withColumn("_row", _key(docs))
-    return keyed.join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "text"]).select(*docs.columns)
 
 
 @_renamed
@@ -71,7 +77,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, a row per piece."""
+    """Sequences of at most 2048 tokens, a row per piece.
+
+    A null text is empty and gives its end id only; repeated rows are pieces of their own; an empty table gives none.
+    """
     return pack_documents(docs)
 
 
