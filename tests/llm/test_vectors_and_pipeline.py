@@ -71,3 +71,19 @@ def test_run_and_names(spark):
 @pytest.mark.parametrize("name", ["op8_quality", "op10_substring_dedup"])
 def test_queries_return_every_document(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_one_near_copy_stays_whatever_its_ids(spark):
+    def texts(name, n):
+        base = [f"{name}{k}" for k in range(80)]
+        return [" ".join([*base[:k], "changed", *base[k:]]) for k in range(n)]
+
+    rows = [(None, t) for t in texts("null", 3)] + [(5, t) for t in texts("five", 2)] + [(None, t) for t in texts("some", 1)] + [(i, t) for i, t in zip((9, 8), texts("some", 3)[1:])]
+    rows += [(None, ""), (7, None), (10, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    kept = [tuple(r) for r in stage(spark, docs, "").collect()]
+    of = lambda name: [i for i, t in kept if t and t.split()[-1].startswith(name)]
+    assert of("null") == [None] and of("five") == [5] and of("some") == [8]
+    assert len(kept) == 6
+    assert stage(spark, docs.where("false"), "").count() == 0
