@@ -6,12 +6,13 @@ sixteen bytes only, and a chunk ends where it falls below a bound. An insertion
 therefore moves the chunk borders near it and no others. Long stretches without a
 border are cut every ``LONGEST`` bytes.
 
-Chunks are compared by digest over all documents. Of equal chunks the first one,
-in order of document id and position, stays, and the others are seeds. A passage may
-hold no whole chunk, or only short ones that repeat by chance elsewhere, so stretches
-of ``SPAN`` bytes without a chunk of ``GRAM`` bytes give one more seed: of their grams
+Chunks of ``GRAM`` bytes or more are compared by digest over all documents; shorter ones
+repeat by chance. Of equal chunks the first one, in order of document id and position,
+stays, and the others are seeds. A passage may hold no such chunk, so stretches
+of ``SPAN`` bytes without one give one more seed: of their grams
 of ``GRAM`` bytes the one with the least hash. Any two copies of ``SPAN`` bytes or more
-therefore share a seed of ``GRAM`` bytes or more. A seed leads to its first copy only;
+therefore share a seed of ``GRAM`` bytes or more, and a text that is shorter than that is
+one chunk. A seed leads to its first copy only;
 a passage is missed if all its seeds stand still earlier by chance.
 
 Seeds that follow each other in both texts form a run. Each run is extended to both
@@ -51,7 +52,7 @@ LEAST_WORDS = 25
 GRAM, SPAN = 32, 95
 
 #: Bytes to each side of a run that are compared in the first round.
-CONTEXT = 256
+CONTEXT = 64
 
 
 def gear_table() -> np.ndarray:
@@ -126,16 +127,26 @@ def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen & ~(same[:-1] & same[1:]))
 
 
+def long_chunks(places: np.ndarray, of: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text) of the chunks that are compared: long ones, and texts below ``SPAN`` bytes whole."""
+    begin = np.concatenate([[0], places[:-1]]) if len(places) else places
+    sizes = np.diff(ends, prepend=0)
+    keep = (places - begin >= GRAM) & (sizes[of] >= SPAN)
+    short = np.flatnonzero((sizes > 0) & (sizes < SPAN))
+    begin, stop, of = np.concatenate([begin[keep], (ends - sizes)[short]]), np.concatenate([places[keep], ends[short]]), np.concatenate([of[keep], short])
+    order = np.argsort(begin, kind="stable")
+    return begin[order], stop[order], of[order]
+
+
 def seeds(keyed: DataFrame) -> DataFrame:
-    """(row, doc_id, at, size, digest) of every chunk and of the grams; ``at`` is the first byte, ``size`` is below zero for grams."""
+    """(row, doc_id, at, size, digest) of the long chunks and of the grams; ``at`` is the first byte, ``size`` is below zero for grams."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, held in slices(batch, most=1_000_000):
                 data, ends = flat_bytes(held)
-                places, of = borders(data, ends)
-                begin = np.concatenate([[0], places[:-1]]) if len(places) else places
+                begin, places, of = long_chunks(*borders(data, ends), ends)
                 more = grams(data, ends)
                 raw = data.tobytes()
                 digests = np.concatenate([
@@ -295,25 +306,27 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_at, ats_at = columns.index("text"), len(columns)
         for batch in batches:
-            for first, held in slices(batch):
+            for first, held in slices(batch, most=1_000_000):
                 data, ends = flat_bytes(held)
                 places, of = borders(data, ends)
+                begins, long, owner = long_chunks(places, of, ends)
                 texts, n_chunks, n_repeated, n_removed, spans = [], [], [], [], []
-                bounds = np.searchsorted(of, np.arange(len(held) + 1))
+                bounds, counts = np.searchsorted(owner, np.arange(len(held) + 1)), np.bincount(of, minlength=len(held))
                 raw = data.tobytes()
                 for k in range(len(held)):
                     begin = int(ends[k - 1]) if k else 0
                     body, ats = raw[begin : int(ends[k])], batch.column(ats_at)[first + k].as_py()
                     wider = batch.column(ats_at + 1)[first + k].as_py()
-                    stops = (places[bounds[k] : bounds[k + 1]] - begin).tolist()
-                    out = _runs(body, stops, ats or [], wider or [], least_words)
+                    own = slice(bounds[k], bounds[k + 1])
+                    stops = dict(zip((begins[own] - begin).tolist(), (long[own] - begin).tolist()))
+                    out = _runs(body, [(a, stops[a]) for a in ats or []], wider or [], least_words)
                     kept, last = [], 0
                     for a, b in out:
                         kept.append(body[last:a])
                         last = b
                     kept.append(body[last:])
                     texts.append(b"".join(kept).decode() if out else body.decode())
-                    n_chunks.append(len(stops)), n_repeated.append(len(ats or [])), n_removed.append(sum(b - a for a, b in out)), spans.append([{"start": a, "end": b} for a, b in out])
+                    n_chunks.append(int(counts[k])), n_repeated.append(len(ats or [])), n_removed.append(sum(b - a for a, b in out)), spans.append([{"start": a, "end": b} for a, b in out])
                 own = passed_on(batch, first, len(held))[: len(columns)]
                 own[text_at] = pa.array(texts, pa.string())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -323,15 +336,9 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
     return joined.select(*columns, "ats", "repeats").mapInArrow(run, f"{schema}, n_chunks long, n_repeated long, n_removed long, spans array<struct<start:long,end:long>>")
 
 
-def _runs(body: bytes, stops: list[int], ats: list[int], spans: list[dict], least_words: int) -> list[tuple[int, int]]:
+def _runs(body: bytes, chunks: list[tuple[int, int]], spans: list[dict], least_words: int) -> list[tuple[int, int]]:
     """Repeated chunks and extended runs, joined where they touch, with enough words, narrowed to whole characters."""
-    if not spans:
-        return []
-    marked, pieces, at, n = set(ats), [(x["start"], x["stop"]) for x in spans], 0, len(body)
-    for stop in stops:
-        if at in marked:
-            pieces.append((at, stop))
-        at = stop
+    pieces, n = [*chunks, *((x["start"], x["stop"]) for x in spans)], len(body)
     out: list[list[int]] = []
     for a, b in sorted(pieces):
         if out and a <= out[-1][1]:
@@ -344,8 +351,7 @@ def _runs(body: bytes, stops: list[int], ats: list[int], spans: list[dict], leas
             a += 1
         while b > a and b < n and body[b] & 0xC0 == 0x80:
             b -= 1
-        whole = a == 0 and b == n and len(marked) == len(stops)
-        if b > a and (whole or len(body[a:b].split()) >= least_words):
+        if b > a and (b - a == n or len(body[a:b].split()) >= least_words):
             kept.append((a, b))
     return kept
 
@@ -353,7 +359,8 @@ def _runs(body: bytes, stops: list[int], ats: list[int], spans: list[dict], leas
 def dedup_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text, n_chunks, n_repeated, n_removed, spans): texts without passages that stand earlier.
 
-    A text that consists of repeated chunks only is removed whole, however short.
+    A text that lies in repeated passages from end to end is removed whole, however short. ``n_chunks`` counts all chunks of a text,
+    ``n_repeated`` the long ones of which an earlier copy exists.
     ``spans`` are byte ranges of the UTF-8 text as it was.
     """
     keyed = texts_of(docs).withColumn("row", row_key())
