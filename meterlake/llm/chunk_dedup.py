@@ -209,19 +209,31 @@ def runs_of(later: DataFrame) -> DataFrame:
     return held.mapInArrow(run, f"row long, ats array<long>, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')}>>")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def _ends(lists: pa.ListArray) -> list[int]:
+    offsets = lists.offsets.to_numpy()
+    return (offsets - offsets[0]).tolist()
+
+
 def contexts(keyed: DataFrame, sides: DataFrame, size: int) -> DataFrame:
     """(frow, pos, side, near): the bytes before (side 0) or from (side 1) a place of a text, at most ``size``; each place once."""
     wanted = sides.groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos, side = batch.column(2).flatten().flatten()
-            ends = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
-            places = list(zip(pos.to_pylist(), side.to_pylist()))
-            for k in range(len(batch)):
-                body, own = batch.column(1)[k].as_py().encode(), slice(int(ends[k]), int(ends[k + 1]))
-                near = [body[p : p + size] if after else body[max(0, p - size) : p] for p, after in places[own]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(near), pa.int64())), pos[own], side[own], pa.array(near, pa.binary())], names=["frow", "pos", "side", "near"])
+        for part in _parts(batches):
+            pos, side = part.column(2).flatten().flatten()
+            places, ends = list(zip(pos.to_pylist(), side.to_pylist())), _ends(part.column(2))
+            near, owners = [], np.repeat(np.arange(len(part)), np.diff(ends))
+            for k, text in enumerate(part.column(1)):
+                body = text.as_py().encode()
+                near += [body[p : p + size] if after else body[max(0, p - size) : p] for p, after in places[ends[k] : ends[k + 1]]]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), pos, side, pa.array(near, pa.binary())], names=["frow", "pos", "side", "near"])
 
     texts = keyed.select(F.col("row").alias("frow"), "text").join(wanted, "frow").select("frow", "text", "wanted")
     found = texts.mapInArrow(run, "frow long, pos long, side int, near binary")
@@ -264,17 +276,16 @@ def extend(keyed: DataFrame, runs: DataFrame, size: int) -> DataFrame:
         return joined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(2)
-            ends = held.offsets.to_numpy() - held.offsets[0].as_py()
+        for part in _parts(batches):
+            held, ends = part.column(2), _ends(part.column(2))
             sides = list(zip(*(x.to_pylist() for x in held.flatten().flatten())))
             found, counts = [], [0]
-            for k in range(len(batch)):
-                found += longer(batch.column(1)[k].as_py().encode(), sides[int(ends[k]) : int(ends[k + 1])])
+            for k, text in enumerate(part.column(1)):
+                found += longer(text.as_py().encode(), sides[ends[k] : ends[k + 1]])
                 counts.append(len(found))
             names = ["frow", "shift", "start", "stop", "open"]
             fields = [pa.array([x[k] for x in found], pa.int32() if k == 4 else pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names))], names=["row", "runs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names))], names=["row", "runs"])
 
     found = keyed.select("row", "text").join(held, "row").select("row", "text", "sides").mapInArrow(run, f"row long, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')},open:int>>")
     return found.dropDuplicates(["row"])  # rows equal in id and text
