@@ -25,7 +25,8 @@ from meterlake.session import pin_utc, scratch_dir, stage
 from meterlake.sinks.display import with_block_texts, with_display_columns
 from meterlake.sinks.documents import CLOSING, OPENING, ROWS, block_lines, daily_detailed_lines, document_lines
 from meterlake.sources import amp, claude, codex, opencode, pi, read_usage, union_usage
-from meterlake.sources.prices import default_prices, merge_prices
+from meterlake.sources.prices import default_prices, load_prices, merge_prices
+from meterlake.streaming.active import active_counts, read_active, start_active_watch
 from meterlake.streaming.blocks import BlockWatch, start_block_watch
 from meterlake.streaming.folder import refresh, watched_usage
 from meterlake.streaming.live import read_meters, start_watch
@@ -166,6 +167,21 @@ def _block_watch(report: reports.BlockReport, result: Callable[[BlockWatch], Dat
     return run
 
 
+def _active_watch(minutes: int, batches: int = 3) -> Query:
+    """Sessions with entries in the last minutes before the latest event, by a watch in which sessions end."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pin_utc(spark)
+        state_conf(spark)
+        folder = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
+        read_events(spark, sf_dir).repartition(batches, "event_id").write.parquet(f"{folder}/events")
+        files = spark.readStream.schema(read_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        start_active_watch(active_counts(usage_from_events(files), minutes), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        return flat(read_active(spark, f"{folder}/table"))
+
+    return run
+
+
 def _read_files(provider: str, lines: Callable[[DataFrame], DataFrame], deep: bool = False) -> Query:
     """The events as real log files, read by the provider's reader."""
 
@@ -208,6 +224,15 @@ def _provider_union(events: DataFrame) -> DataFrame:
     )
 
 
+def _daily_by_price_file(u: DataFrame, p: DataFrame) -> DataFrame:
+    """The daily report with prices that were read from a price file."""
+    spark = u.sparkSession
+    folder = f"{scratch_dir(spark)}/prices-{uuid.uuid4()}"
+    entries = F.map_from_entries(F.collect_list(F.struct("model", F.struct(*p.columns[1:]))))
+    p.agg(F.to_json(entries).alias("value")).write.text(folder)
+    return reports.daily(u, load_prices(spark, folder))
+
+
 def _document_rows(lines: DataFrame, schema: str) -> DataFrame:
     """Report rows read back from the lines of a JSON document."""
     rows = lines.where(F.col("section") == ROWS).select(F.from_json(F.ltrim(F.col("line"), F.lit(",")), schema).alias("r"))
@@ -316,6 +341,7 @@ QUERIES: dict[str, Query] = {
     "unknown_models": _query(lambda u, p: unknown_models(u, p)),
     "price_merge": _query(lambda u, p: reports.daily(u, merge_prices(
         u.sparkSession.sql(NEWER_PRICES).select("model", *[F.col(c).cast("decimal(18,14)").alias(c) for c in p.columns[1:]]), p))),
+    "price_file": _query(_daily_by_price_file),
     "dedup_claude": _wire_query(lambda e: first_per_key(claude.records(wire.claude_lines(e)), "dedup_key").select(
         "dedup_key", F.col("_ord").alias("event_id"))),
     "parse_claude": _wire_query(lambda e: _usage_columns(parsed_claude(e))),
@@ -325,6 +351,8 @@ QUERIES: dict[str, Query] = {
     "parse_pi": _wire_query(lambda e: _usage_columns(parsed_pi(e))),
     "read_claude": _read_files("claude", wire.claude_lines),
     "read_codex": _read_files("codex", wire.codex_lines, deep=True),
+    "read_amp": _read_files("amp", lambda e: wire.amp_documents(e).select(
+        "value", F.concat(F.lit("threads/"), "_file").alias("_file"), F.lit(0).alias("_ord")), deep=True),
     "read_pi": _read_files("pi", wire.pi_lines),
     "provider_union": _wire_query(_provider_union),
     "blocks_global": _query(lambda u, p: billing_blocks(u, p, AS_OF)),
@@ -354,11 +382,11 @@ QUERIES: dict[str, Query] = {
     "display_blocks": _query(lambda u, p: with_block_texts(
         billing_blocks(u, p, AS_OF, keys=["session_id"]), AS_OF, NEW_YORK).select(
         "session_id", "start_text", "status", "time_remaining")),
-    "json_sessions": _query(lambda u, p: _document_rows(
-        document_lines(reports.sessions(u, p), "sessions"),
-        f"session_id string, start_time string, duration_seconds bigint, {_TOKENS_JSON}, total_cost double, model string")),
-    "json_weekly": _query(lambda u, p: _document_rows(
-        document_lines(reports.weekly(u, p), "weekly"), f"week string, {_TOKENS_JSON}, total_cost double, active_days bigint")),
+    "json_sessions": _query(lambda u, p: _whole_document(
+        document_lines(reports.sessions(u, p), "sessions"), "session_id",
+        "session_id string, start_time string, duration_seconds bigint, model string")),
+    "json_weekly": _query(lambda u, p: _whole_document(
+        document_lines(reports.weekly(u, p), "weekly"), "week", "week string, active_days bigint")),
     "json_daily_entries": _query(lambda u, p: _entry_lines(reports.daily(u, p), reports.daily_detailed(u, p))),
     "json_daily": _query(lambda u, p: _whole_document(
         document_lines(reports.daily(u, p), "daily"), "date", "date string, models_used array<string>")),
@@ -377,6 +405,7 @@ QUERIES: dict[str, Query] = {
     "stream_blocks": _stream_query(reports.BlockReport(AS_OF)),
     "stream_blocks_below_an_hour": _batches_query(reports.BlockReport(AS_OF, hours=0.25)),
     "stream_tail_sessions": _tailed(reports.session_report()),
+    "stream_active_sessions": _active_watch(24 * 60),
     "stream_block_watch": _block_watch(reports.BlockReport(AS_OF, keys=("project",)), lambda w: w.current()),
     "stream_block_maximum": _block_watch(reports.BlockReport(AS_OF), lambda w: w.historical_max()),
     "stream_claude_dedup": _wire_query(lambda e: _usage_columns(_growing_logs(e))),

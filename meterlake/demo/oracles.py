@@ -468,3 +468,10 @@ def _over_logs(sql: str) -> str:
 ORACLES["stream_tail_sessions"] = _over_logs(ORACLES["sessions"])
 ORACLES["stream_block_watch"] = ORACLES["blocks_by_project"]
 ORACLES["stream_block_maximum"] = ORACLES["historical_max"]
+ORACLES["stream_active_sessions"] = f"""WITH {USAGE}
+SELECT session_id, count(*) AS entries FROM u
+WHERE ts > (SELECT date_trunc('millisecond', max(ts)) FROM u) - INTERVAL 1 DAY GROUP BY session_id"""
+ORACLES["read_amp"] = ORACLES["parse_amp"]
+ORACLES["json_sessions"] = _document(ORACLES["json_sessions"], ["session_id", "start_time", "duration_seconds", "model"])
+ORACLES["json_weekly"] = _document(ORACLES["json_weekly"], ["week", "active_days"])
+ORACLES["price_file"] = ORACLES["daily"]
