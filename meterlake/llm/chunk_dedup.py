@@ -144,7 +144,7 @@ def seeds(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, held in slices(batch, most=1_000_000):
+            for first, held in slices(batch, most=500_000):
                 data, ends = flat_bytes(held)
                 begin, places, of = long_chunks(*borders(data, ends), ends)
                 more = grams(data, ends)
@@ -158,6 +158,7 @@ def seeds(keyed: DataFrame) -> DataFrame:
                 at = np.concatenate([begin, more]).astype(np.int64) - np.concatenate([[0], ends[:-1]])[of]
                 which = pa.array(of + first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(at.astype(np.int64)), pa.array(sizes), pa.array(digests.view(np.int64))], names=["row", "doc_id", "at", "size", "digest"])
+            pa.default_memory_pool().release_unused()
 
     return keyed.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, at long, size int, digest long")
 
@@ -210,10 +211,11 @@ def runs_of(later: DataFrame) -> DataFrame:
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A few rows at a time become Python objects."""
+    """A few rows at a time become Python objects; memory that Arrow holds in reserve goes back after each batch."""
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _ends(lists: pa.ListArray) -> list[int]:
