@@ -12,9 +12,9 @@ together only sets that have little else. The number of fragments depends on the
 of two neighbouring steps are compared by the same fragments.
 
 Sets that meet are linked in a star around the least one, stars are joined into
-classes of candidates, and within a class overlaps are counted for one fragment of
-the n-gram order after the other and summed per pair, for pairs that no chain of
-links joins yet. N-grams that only one set of a class has cannot add to an overlap
+classes of candidates, and within a class overlaps are counted inside a task, a bounded
+number of n-gram occurrences after the other, for pairs that no chain of
+links joins yet; they are not summed per pair by Spark, which would emit all pairs of a large class. N-grams that only one set of a class has cannot add to an overlap
 and are left out. Large classes are dealt in blocks of sets, a task for each pair
 of blocks.
 

@@ -65,7 +65,7 @@ def test_pipeline_stages(spark, odd_docs, odd_rows):
 def test_run_and_names(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", ["op8_quality", "op10_substring_dedup"])
