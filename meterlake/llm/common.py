@@ -16,6 +16,12 @@ from meterlake.session import scratch_dir
 #: Bytes of text that a task turns into Python objects at a time.
 SLICE_CHARS = 8_000_000
 
+#: Bytes of a batch that goes to Python while a table is written.
+BATCH_BYTES = 16 << 20
+
+#: Bytes of files for one bucket.
+BUCKET_BYTES = 16 << 20
+
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), the text of a null being empty. Other columns, whatever their names, stay out."""
@@ -27,6 +33,20 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
 
 
+@contextlib.contextmanager
+def writing(spark: SparkSession):
+    """Settings while a table is written: its shuffle files go when it is complete, and batches for Python stay small."""
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: a cut of the lineage that outlives executors."""
     path = new_path(df.sparkSession, name)
@@ -34,6 +54,28 @@ def table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: s
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``table``, in ``buckets`` buckets of ``key``: joins on ``key`` with rows in as many partitions do not shuffle it again.
+
+    Spark knows buckets by the catalog only, so the table has a name in the session's, while its files lie in the shared folder.
+    """
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    with writing(spark):
+        df.repartition(buckets, key).write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def buckets_of(df: DataFrame) -> int:
+    """Buckets for the rows of ``df``: one for about ``BUCKET_BYTES`` of what it reads, as many as Spark allows at most.
+
+    Rows that come from no files have no known size; they get as many buckets as shuffles have partitions.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:
+        return spread(df.sparkSession)
+    return min(max(8, -(-size // BUCKET_BYTES)), 100_000)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4()}"
 
