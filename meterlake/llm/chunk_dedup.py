@@ -21,7 +21,8 @@ sides, byte by byte, as far as the text around its first copy agrees: over at mo
 few runs that agree to the end of that, until none does. Extended runs that touch are one, and those of at least
 ``least_words`` words are removed, so that chance repeats leave a text alone.
 
-The rows that are shuffled are digests with positions, and the bytes beside the first
+Texts are shuffled once, into a table in buckets of their rows, equal rows once; all steps read it in place.
+The rows that are shuffled besides are digests with positions, and the bytes beside the first
 copies, once for each place. Digests are summed before they are shuffled, and the
 joins that mark and extend the later copies are such that Spark can split them at hot
 keys.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passed_on, row_key, slices, table, texts_of
+from .common import bucketed, buckets_of, passed_on, row_key, slices, table, texts_of, writing
 
 #: Bytes of a chunk on average and at most.
 MEAN, LONGEST = 40, 256
@@ -223,9 +224,9 @@ def _ends(lists: pa.ListArray) -> list[int]:
     return (offsets - offsets[0]).tolist()
 
 
-def contexts(keyed: DataFrame, sides: DataFrame, size: int) -> DataFrame:
+def contexts(texts: DataFrame, buckets: int, sides: DataFrame, size: int) -> DataFrame:
     """(frow, pos, side, near): the bytes before (side 0) or from (side 1) a place of a text, at most ``size``; each place once."""
-    wanted = sides.groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
+    wanted = sides.select("frow", "pos", "side").repartition(buckets, "frow").groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -237,9 +238,8 @@ def contexts(keyed: DataFrame, sides: DataFrame, size: int) -> DataFrame:
                 near += [body[p : p + size] if after else body[max(0, p - size) : p] for p, after in places[ends[k] : ends[k + 1]]]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), pos, side, pa.array(near, pa.binary())], names=["frow", "pos", "side", "near"])
 
-    texts = keyed.select(F.col("row").alias("frow"), "text").join(wanted, "frow").select("frow", "text", "wanted")
-    found = texts.mapInArrow(run, "frow long, pos long, side int, near binary")
-    return found.groupBy("frow", "pos", "side").agg(F.first("near").alias("near"))  # rows equal in id and text
+    held = texts.select(F.col("row").alias("frow"), "text").join(wanted, "frow").select("frow", "text", "wanted")
+    return held.mapInArrow(run, "frow long, pos long, side int, near binary")
 
 
 def agreed(a: bytes, b: bytes) -> int:
@@ -250,15 +250,15 @@ def agreed(a: bytes, b: bytes) -> int:
     return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
-def extend(keyed: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+def extend(texts: DataFrame, buckets: int, runs: DataFrame, size: int) -> DataFrame:
     """(row, runs): runs (row, frow, shift, start, stop, open) extended by at most ``size`` bytes at their open sides.
 
     ``open`` is 1 if the left side may go on, 2 if the right one may, 3 for both.
     """
     ways = [F.when(F.col("open").bitwiseAND(1 << k) != 0, F.struct((F.col(c) + F.col("shift")).alias("pos"), F.lit(k).alias("side"))) for k, c in enumerate(("start", "stop"))]
     sides = runs.select("row", "frow", "shift", "start", "stop", F.inline(F.filter(F.array(*ways), lambda x: x.isNotNull())))
-    near = sides.join(contexts(keyed, sides, size), ["frow", "pos", "side"])
-    held = near.groupBy("row").agg(F.collect_list(F.struct("frow", "shift", "start", "stop", "side", "near")).alias("sides"))  # as many as the row has runs
+    near = sides.join(contexts(texts, buckets, sides, size), ["frow", "pos", "side"])
+    held = near.repartition(buckets, "row").groupBy("row").agg(F.collect_list(F.struct("frow", "shift", "start", "stop", "side", "near")).alias("sides"))  # as many as the row has runs
 
     def longer(body: bytes, sides: list[tuple]) -> list[list]:
         out = []
@@ -289,22 +289,26 @@ def extend(keyed: DataFrame, runs: DataFrame, size: int) -> DataFrame:
             fields = [pa.array([x[k] for x in found], pa.int32() if k == 4 else pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names))], names=["row", "runs"])
 
-    found = keyed.select("row", "text").join(held, "row").select("row", "text", "sides").mapInArrow(run, f"row long, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')},open:int>>")
-    return found.dropDuplicates(["row"])  # rows equal in id and text
+    joined = texts.select("row", "text").join(held, "row").select("row", "text", "sides")
+    return joined.mapInArrow(run, f"row long, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')},open:int>>")
 
 
 def repeated(keyed: DataFrame) -> DataFrame:
     """(row, ats, repeats): the chunks of a row of which an earlier copy exists, and the extended runs."""
-    found = seeds(keyed)
+    buckets = buckets_of(keyed)
+    texts = bucketed(keyed.dropDuplicates(["row"]), "texts", "row", buckets)
+    found = seeds(texts)
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("row").alias("r"), F.col("at").alias("p"))
     firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     later = found.join(firsts, "digest").where(place != F.col("first")).select("row", F.col("first.r").alias("frow"), (F.col("first.p") - F.col("at")).alias("shift"), "at", "size")
-    runs = table(runs_of(later), "runs")
+    with writing(keyed.sparkSession):
+        runs = table(runs_of(later), "runs")
     spans, left, size = runs.select("row", "ats"), runs.select("row", F.inline("runs"), F.lit(3).alias("open")), CONTEXT
     none = F.array().cast("array<struct<start:long,stop:long>>")
     repeats = none
     while True:
-        more = table(extend(keyed, left, size), "extended")
+        with writing(keyed.sparkSession):
+            more = table(extend(texts, buckets, left, size), "extended")
         ends = more.select("row", F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("more"))
         spans = spans.join(ends, "row", "left").select("row", "ats", F.concat(repeats, F.coalesce("more", none)).alias("repeats"))
         left = more.select("row", F.inline("runs")).where("open <> 0")
