@@ -226,7 +226,7 @@ def _ends(lists: pa.ListArray) -> list[int]:
 
 def contexts(texts: DataFrame, buckets: int, sides: DataFrame, size: int) -> DataFrame:
     """(frow, pos, side, near): the bytes before (side 0) or from (side 1) a place of a text, at most ``size``; each place once."""
-    wanted = sides.select("frow", "pos", "side").repartition(buckets, "frow").groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
+    wanted = sides.select("frow", "pos", "side").distinct().repartition(buckets, "frow").groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
