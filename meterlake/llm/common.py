@@ -35,8 +35,15 @@ def row_key() -> Column:
 
 @contextlib.contextmanager
 def writing(spark: SparkSession):
-    """Settings while a table is written: its shuffle files go when it is complete, and batches for Python stay small."""
-    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    """Settings while a table is written.
+
+    Its shuffle files go when it is complete, batches for Python stay small, and buckets of one file are not sorted again.
+    """
+    conf = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    }
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
