@@ -20,7 +20,7 @@ SLICE_CHARS = 8_000_000
 BATCH_BYTES = 16 << 20
 
 #: Bytes of files for one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
