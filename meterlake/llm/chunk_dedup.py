@@ -21,7 +21,8 @@ sides, byte by byte, as far as the text around its first copy agrees: over at mo
 few runs that agree to the end of that, until none does. Extended runs that touch are one, and those of at least
 ``least_words`` words are removed, so that chance repeats leave a text alone.
 
-Texts are shuffled once, into a table in buckets of their rows, equal rows once; all steps read it in place.
+Texts are shuffled into a table in buckets of their rows, equal rows once; all steps up to the last join, which shuffles
+the documents themselves, read it in place.
 The rows that are shuffled besides are digests with positions, and the bytes beside the first
 copies, once for each place. Digests are summed before they are shuffled, and the
 joins that mark and extend the later copies are such that Spark can split them at hot
