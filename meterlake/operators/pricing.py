@@ -25,7 +25,9 @@ def resolve_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
     substrings of a model that are as long as some key are looked up among the
     keys, and the model is looked up among the substrings of the keys (one best
     key kept per substring). The work grows with models + keys, not with their
-    product. No join is forced to broadcast; AQE does so when the measured size
+    product. A name of any length is cut into pieces as long as the longest key; a key
+    that it contains lies in two neighbouring pieces. Each such pair is a row of its own,
+    so a name that is a whole text takes rows in proportion to its length, none of them large. No join is forced to broadcast; AQE does so when the measured size
     of a side is below the session's limit.
     """
     keys = prices.select(
@@ -37,6 +39,7 @@ def resolve_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
         ).alias("_price"),
     )
     key_lengths = prices.agg(F.collect_set(F.length("model"))).scalar()
+    piece = F.concat(F.lit("(?s)(.{1,"), F.greatest(F.coalesce(F.array_max("_lengths"), F.lit(1)), F.lit(1)).cast("string"), F.lit("})"))
 
     inside_keys = (
         keys.select(F.explode(F.expr(_ALL_SUBSTRINGS)).alias("_part"), "_price")
@@ -47,15 +50,20 @@ def resolve_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
     probes = (
         models.join(inside_keys, models["model"] == inside_keys["_part"], "left")
         .withColumn("_lengths", key_lengths)
-        .select("model", "_inside", F.explode(F.expr(_PROBES)).alias("_probe"))
-        .select("model", "_inside", "_probe.rank", F.col("_probe.name").alias("_name"))
+        .withColumn("_pieces", F.regexp_extract_all("model", piece))
+        .select(F.expr(_ID).alias("_id"), "_lengths", F.inline(F.expr(_WINDOWS)))
+        .select("_id", "_inside", F.col("_model").alias("model"), F.explode(F.expr(_PROBES)).alias("_probe"))
+        .select("_id", F.when(F.col("_probe.rank") == EXACT, F.col("model")).alias("model"), "_inside", "_probe.rank", F.col("_probe.name").alias("_name"))
     )
-    candidates = probes.join(keys, F.col("_name") == F.col("_key"), "left").select(
+    # of the probes that are no key only the name itself goes on, for models without a match
+    looked_up = probes.join(keys, F.col("_name") == F.col("_key"), "left").where(F.col("_key").isNotNull() | (F.col("rank") == EXACT))
+    candidates = looked_up.select(
+        "_id",
         "model",
         _match(F.col("rank"), F.col("_price")).alias("_forward"),
         _match(F.lit(PARTIAL), F.col("_inside")).alias("_backward"),
     )
-    best = candidates.groupBy("model").agg(F.min(F.least("_forward", "_backward")).alias("_best"))
+    best = candidates.groupBy("_id").agg(F.max("model").alias("model"), F.min(F.least("_forward", "_backward")).alias("_best"))
     return best.select(
         "model",
         F.col("_best.price.price_key").alias("price_key"),
@@ -77,18 +85,30 @@ def _substrings(text: str, length: str) -> str:
 _ALL_SUBSTRINGS = f"""
     array_distinct(flatten(transform(sequence(0, length(_key)), size -> {_substrings('_key', 'size')})))"""
 
-# All names to look up for a model, each with its rank: the variants in their
-# fixed order, then the substrings that are as long as some key.
+# Stands for a model in the rows of its pieces, of which only the first has the name.
+_ID = "named_struct('size', length(model), 'name', if(length(model) <= 200, model, sha2(model, 256)))"
+
+# Neighbouring pieces of a name; the name itself and its match inside a key go with the first.
+_WINDOWS = """
+    transform(
+        if(size(_pieces) = 0, array(''), _pieces),
+        (piece, i) -> named_struct(
+            '_window', concat(piece, coalesce(get(_pieces, i + 1), '')),
+            '_model', if(i = 0, model, NULL),
+            '_inside', if(i = 0, _inside, NULL)))"""
+
+# All names to look up for a row: with the model, its variants in their
+# fixed order, then the substrings of the window that are as long as some key.
 _PROBES = f"""
     concat(
-        array(
-            named_struct('rank', {EXACT}, 'name', model),
-            named_struct('rank', 1, 'name', concat('anthropic/', model)),
-            named_struct('rank', 2, 'name', concat('claude-', model)),
-            named_struct('rank', 3, 'name', replace(model, 'claude-3-', 'claude-3.')),
-            named_struct('rank', 4, 'name', replace(model, 'claude-3.', 'claude-3-'))),
+        filter(array(
+            named_struct('rank', {EXACT}, 'name', _model),
+            named_struct('rank', 1, 'name', concat('anthropic/', _model)),
+            named_struct('rank', 2, 'name', concat('claude-', _model)),
+            named_struct('rank', 3, 'name', replace(_model, 'claude-3-', 'claude-3.')),
+            named_struct('rank', 4, 'name', replace(_model, 'claude-3.', 'claude-3-'))), variant -> variant.name IS NOT NULL),
         transform(
-            array_distinct(flatten(transform(_lengths, size -> {_substrings('model', 'size')}))),
+            array_distinct(flatten(transform(_lengths, size -> {_substrings('_window', 'size')}))),
             part -> named_struct('rank', {PARTIAL}, 'name', part)))"""
 
 

@@ -1,5 +1,7 @@
+import itertools
 import random
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.errors import SparkRuntimeException
@@ -111,3 +113,35 @@ def test_load_and_merge(spark, put, make_usage):
     merged = {r.model: float(r.input_cost_per_token) for r in merge_prices(online, embedded).collect()}
     assert merged == {"m1": 1e-6, "m2": 2.5e-7, "m3": 1.0}
     assert online.schema.fieldNames() == PRICES.fieldNames()
+
+
+def test_names_that_are_whole_texts(spark, prices, make_usage):
+    """Keys are found wherever they lie in a name of many thousand characters, and every such name once."""
+    filler = "lorem é\n" * 5_000
+    names = {
+        filler + "claude-2.1" + filler: "claude-2.1",
+        filler + "claude-2": "claude-2",
+        "claude-3-opus" + filler + "claude-sonnet-4-5-20250929": "claude-sonnet-4-5-20250929",
+        filler + "claude-" + filler: None,
+        "": "claude-sonnet-4-5-20250929",
+        "laude-2": "claude-2.1",
+    }
+    found = resolve_models(make_usage(*[entry(name) for name in names for _ in range(2)]), prices)
+    got = {r["model"]: r["price_key"] for r in found.select("model", "price_key").collect()}
+    assert got == names and found.count() == len(names)
+
+
+def test_windows_find_what_every_pair_finds(spark, make_usage):
+    keys = ["ab", "abcab", "b", "caba", "zz", "abababab"]
+    rates = [Decimal("0.1")] * 4
+    prices = spark.createDataFrame([(k, *rates) for k in keys], PRICES)
+    names = ["".join(x) for n in range(1, 5) for x in itertools.product("abcz", repeat=n)] + ["zc" * 9 + "abcab" + "c" * k for k in range(20)]
+
+    def best(name):
+        if name in keys:
+            return name
+        near = [k for k in keys if k in name or name in k]
+        return min(near, key=lambda k: (-len(k), k)) if near else None
+
+    found = resolve_models(make_usage(*[entry(name) for name in names]), prices)
+    assert {r["model"]: r["price_key"] for r in found.collect()} == {name: best(name) for name in names}
