@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from meterlake.demo import wire
 from meterlake.demo.events import AS_OF, read_events, usage, usage_from_events
 from meterlake.functions.models import short_name, status_name
 from meterlake.operators.blocks import (
-    billing_blocks, block_sessions, blocks_from_sessions, filter_blocks, with_token_warnings,
+    billing_blocks, block_projects, block_sessions, blocks_from_sessions, filter_blocks, with_token_warnings,
 )
 from meterlake.operators.dedup import first_per_key
 from meterlake.operators.filters import MonthFilter, UsageFilter
@@ -192,6 +193,15 @@ def _read_files(provider: str, lines: Callable[[DataFrame], DataFrame], deep: bo
     return _wire_query(build)
 
 
+def _recent_files(events: DataFrame) -> DataFrame:
+    """Files of sessions with an even number were written to lately; those of the others are older than the limit."""
+    spark, limit = events.sparkSession, datetime(2024, 1, 1, tzinfo=timezone.utc)
+    folder = wire.write_logs(wire.claude_lines(events))
+    wire.set_file_time(spark, f"{folder}/*/s*[13579].jsonl", limit - timedelta(seconds=1))
+    wire.set_file_time(spark, f"{folder}/*/s*[02468].jsonl", limit)
+    return _usage_columns(read_usage(spark, "claude", folder, modified_since=limit))
+
+
 def parsed_claude(events: DataFrame) -> DataFrame:
     return claude.parse(wire.claude_lines(events))
 
@@ -350,6 +360,7 @@ QUERIES: dict[str, Query] = {
     "parse_amp": _wire_query(lambda e: _usage_columns(parsed_amp(e))),
     "parse_pi": _wire_query(lambda e: _usage_columns(parsed_pi(e))),
     "read_claude": _read_files("claude", wire.claude_lines),
+    "read_claude_recent": _wire_query(_recent_files),
     "read_codex": _read_files("codex", wire.codex_lines, deep=True),
     "read_amp": _read_files("amp", lambda e: wire.amp_documents(e).select(
         "value", F.concat(F.lit("threads/"), "_file").alias("_file"), F.lit(0).alias("_ord")), deep=True),
@@ -367,6 +378,10 @@ QUERIES: dict[str, Query] = {
     "blocks_legacy": _query(lambda u, p: blocks_from_sessions(reports.sessions(u, p), AS_OF)),
     "block_filters": _query(lambda u, p: filter_blocks(
         billing_blocks(u, p, AS_OF, keys=["session_id"]), AS_OF, "2024-01-10", "2024-01-20", "proj3")),
+    "block_projects": _query(lambda u, p: block_projects(u)),
+    "block_filters_by_rows": _query(lambda u, p: filter_blocks(
+        billing_blocks(u, p, AS_OF, keys=["session_id"], project_sets=False), AS_OF, "2024-01-10", "2024-01-20", "proj3",
+        projects=block_projects(u, keys=["session_id"])).drop("projects_used")),
     "blocks_active_recent": _query(lambda u, p: filter_blocks(
         billing_blocks(u, p, AS_OF, keys=["session_id"]), AS_OF, active=True, recent=True)),
     "token_warnings": _query(lambda u, p: with_token_warnings(billing_blocks(u, p, AS_OF), "0.5%").select(
@@ -401,6 +416,8 @@ QUERIES: dict[str, Query] = {
     "stream_by_instance": _stream_query(reports.daily_by_instance_report()),
     "stream_monthly": _stream_query(reports.monthly_report(NEW_YORK)),
     "stream_weekly": _stream_query(reports.weekly_report()),
+    "stream_monthly_bits": _batches_query(reports.monthly_bits_report(NEW_YORK)),
+    "stream_weekly_bits": _batches_query(reports.weekly_bits_report()),
     "stream_sessions": _stream_query(reports.session_report()),
     "stream_blocks": _stream_query(reports.BlockReport(AS_OF)),
     "stream_blocks_below_an_hour": _batches_query(reports.BlockReport(AS_OF, hours=0.25)),

@@ -475,3 +475,8 @@ ORACLES["read_amp"] = ORACLES["parse_amp"]
 ORACLES["json_sessions"] = _document(ORACLES["json_sessions"], ["session_id", "start_time", "duration_seconds", "model"])
 ORACLES["json_weekly"] = _document(ORACLES["json_weekly"], ["week", "active_days"])
 ORACLES["price_file"] = ORACLES["daily"]
+ORACLES["read_claude_recent"] = PARSE_CLAUDE.replace("FROM u WHERE event_id % 17 <> 0", "FROM u WHERE event_id % 17 <> 0 AND CAST(substr(session_id, 2) AS BIGINT) % 2 = 0")
+ORACLES["stream_monthly_bits"], ORACLES["stream_weekly_bits"] = ORACLES["monthly"], ORACLES["weekly_sunday"]
+ORACLES["block_filters_by_rows"] = f"SELECT * EXCLUDE (projects_used) FROM ({ORACLES['block_filters']})"
+ORACLES["block_projects"] = f"""{_blocks_cte("''", 300)}
+SELECT DISTINCT {stamp('start')} AS block_start, project FROM b WHERE project IS NOT NULL"""

@@ -7,8 +7,9 @@ fields and time stamps that no parser may accept, at fixed rates.
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.demo.events import usage_from_events
@@ -122,6 +123,14 @@ def write_logs(lines: DataFrame, folder: str | None = None) -> str:
     return folder
 
 
+def set_file_time(spark: SparkSession, pattern: str, moment: datetime) -> None:
+    """Makes the files look as if last written at ``moment``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(pattern).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.globStatus(hadoop.Path(pattern)) or []:
+        system.setTimes(status.getPath(), int(moment.timestamp() * 1000), -1)
+
+
 def opencode_documents(events: DataFrame) -> DataFrame:
     record = F.struct(
         F.concat(F.lit("m"), F.col("e") % 7000).alias("id"),

@@ -155,15 +155,28 @@ def billing_blocks(
     hours: float = DEFAULT_HOURS,
     keys: tuple[str, ...] | list[str] = (),
     strict: bool = True,
+    project_sets: bool = True,
 ) -> DataFrame:
     """Blocks and gaps of every timeline, with sums, models, projects and activity.
 
     Sessions of a block are rows of ``block_sessions``; a block row only counts
-    them, because a block may hold any number of sessions.
+    them, because a block may hold any number of sessions. So it is with projects
+    where they are many: without ``project_sets``, ``projects_used`` is null, sums need no
+    project key, and ``block_projects`` has the projects as rows.
     """
     rule = BlockRule(hours, tuple(keys))
     unit = rule.unit(F.col("ts")).alias("_unit")
+    if not project_sets:
+        meters = compact(usage, **rule.compact_keys())
+        if "project" not in rule.keys:
+            meters = meters.withColumn("project", F.lit(None).cast("string"))
+        blocks = _blocks_of(meters, usage, prices, mode, strict, rule, as_of, unit)
+        return blocks.withColumn("projects_used", F.lit(None).cast("array<string>"))
     meters = compact(usage, **rule.compact_keys("project"))
+    return _blocks_of(meters, usage, prices, mode, strict, rule, as_of, unit)
+
+
+def _blocks_of(meters, usage, prices, mode, strict, rule: BlockRule, as_of, unit: Column) -> DataFrame:
     priced = price_meters(meters, usage, prices, mode, strict)
     members = usage.select(*dict.fromkeys([*rule.keys, "session_id"]), unit)
     return blocks_from_meters(priced, meters, members, usage.select(*rule.keys, unit), rule, as_of)
@@ -332,6 +345,21 @@ def block_sessions(
     )
 
 
+def block_projects(usage: DataFrame, hours: float = DEFAULT_HOURS, keys: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(keys, block_start, project): one row per block and project that occurs in it, however many they are.
+
+    Blocks below an hour are told apart by their entries, not by their start; they have no row form.
+    """
+    rule = BlockRule(hours, tuple(keys))
+    if rule.below_an_hour:
+        raise ValueError("projects of blocks below an hour are in projects_used only")
+    unit = rule.unit(F.col("ts")).alias("_unit")
+    pairs = usage.where(F.col("project").isNotNull()).select(*dict.fromkeys([*rule.keys, "project"]), unit).distinct()
+    assigned = assign_blocks(pairs, usage.select(*rule.keys, unit), rule)
+    start, _ = _block_times(rule)
+    return assigned.select(*[key for key in rule.keys if key != "project"], start.alias("block_start"), "project").distinct()
+
+
 def blocks_from_sessions(sessions: DataFrame, as_of: str | datetime, hours: int = 5) -> DataFrame:
     """Blocks over whole sessions in order of their start (the older rule).
 
@@ -368,17 +396,27 @@ def filter_blocks(
     project: str | None = None,
     active: bool = False,
     recent: bool = False,
+    projects: DataFrame | None = None,
 ) -> DataFrame:
     """Block filters; they choose among finished blocks, so they never move a boundary.
 
     Dates are those of the block start in UTC. A project keeps every block in
     which it occurs, with the tokens of all projects; gaps have none and drop out.
+    With ``projects`` (``block_projects`` of the same usage, hours and keys) that is a semi-join
+    on the blocks of the project; otherwise ``projects_used`` is searched.
     """
     if since := parse_date(since):
         blocks = blocks.where(F.col("start_time") >= instant(datetime.combine(since, time(), timezone.utc)))
     if until := parse_date(until):
         blocks = blocks.where(F.col("start_time") <= instant(datetime.combine(until, time(23, 59, 59), timezone.utc)))
-    if project is not None:
+    if project is not None and projects is not None:
+        chosen = projects.where(F.col("project") == project)
+        chosen = chosen.select(*[F.col(name).alias(f"_p_{name}") for name in chosen.columns])
+        shared = [name for name in projects.columns if name in blocks.columns]
+        same = [blocks[name].eqNullSafe(chosen[f"_p_{name}"]) for name in shared]
+        on = reduce(lambda a, b: a & b, same, blocks["start_time"] == chosen["_p_block_start"])
+        blocks = blocks.where(~F.col("is_gap")).join(chosen, on, "left_semi")
+    elif project is not None:
         blocks = blocks.where(F.array_contains("projects_used", project))
     if active:
         blocks = blocks.where("is_active")

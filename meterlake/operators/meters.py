@@ -24,14 +24,18 @@ METERS = [*TOKENS, *UNPRICED, "logged_cost", "n_entries", "n_logged", "first_ts"
 #: Further meter of signed changes: how many entries were taken back from the group.
 TAKEN_BACK = "n_taken_back"
 
+#: Further meter of months and weeks: a bit for each of their days that has entries.
+DAY_BITS = "day_bits"
 
-def compact(usage: DataFrame, **keys: Column | str) -> DataFrame:
+
+def compact(usage: DataFrame, *more: Column, **keys: Column | str) -> DataFrame:
     """Sum usage per ``keys`` and model.
 
     ``unpriced_*`` are the tokens of entries without a logged cost. Meters that
-    the report does not use are removed by the optimizer.
+    the report does not use are removed by the optimizer; ``more`` are meters it needs besides.
     """
-    return usage.groupBy(*_groups(keys)).agg(*_sums(), F.count("*").alias("n_entries"), F.count("total_cost").alias("n_logged"), *_times())
+    return usage.groupBy(*_groups(keys)).agg(
+        *_sums(), F.count("*").alias("n_entries"), F.count("total_cost").alias("n_logged"), *_times(), *more)
 
 
 def compact_changes(changes: DataFrame, **keys: Column | str) -> DataFrame:
@@ -77,7 +81,7 @@ def _times(sign: Column | None = None) -> list[Column]:
 
 def merge_meters(meters: DataFrame, *keys: str) -> DataFrame:
     """Adds meters up, per model and ``keys`` (by default all keys they have)."""
-    names = [*METERS, TAKEN_BACK] if TAKEN_BACK in meters.columns else METERS
+    names = [*METERS, *(name for name in (TAKEN_BACK, DAY_BITS) if name in meters.columns)]
     chosen = list(keys) or [name for name in meters.columns if name not in names]
     if "model" not in chosen:
         chosen.append("model")
@@ -86,6 +90,8 @@ def merge_meters(meters: DataFrame, *keys: str) -> DataFrame:
     def combined(name: str) -> Column:
         if name in smallest:
             return F.min(name).alias(name)
+        if name == DAY_BITS:
+            return F.bit_or(name).alias(name)
         return (F.max(name) if name in largest else F.sum(name).cast(meters.schema[name].dataType)).alias(name)
 
     return meters.groupBy(*chosen).agg(*[combined(name) for name in names])

@@ -20,7 +20,7 @@ from meterlake.operators.blocks import (
     DEFAULT_HOURS, BlockRule, billing_blocks, blocks_from_meters,
 )
 from meterlake.operators.filters import MonthFilter, UsageFilter
-from meterlake.operators.meters import compact, compact_changes, merge_meters, sorted_set, summed
+from meterlake.operators.meters import DAY_BITS, compact, compact_changes, merge_meters, sorted_set, summed
 from meterlake.operators.pricing import price_meters, with_cost
 from meterlake.schemas import TOKENS, CostMode
 from meterlake.session import stage
@@ -33,12 +33,15 @@ class Report:
     name: str
     keys: Callable[[], dict[str, Column | str]]
     roll_up: Callable[[DataFrame], DataFrame]
+    more: Callable[[], list[Column]] = list
 
     def compact(self, usage: DataFrame) -> DataFrame:
-        return compact(usage, **self.keys())
+        return compact(usage, *self.more(), **self.keys())
 
     def compact_changes(self, changes: DataFrame) -> DataFrame:
         """The same for entries that come and go, by their ``sign``."""
+        if self.more():
+            raise ValueError(f"{self.name} has meters from which nothing can be taken back")
         return compact_changes(changes, **self.keys())
 
     def run(
@@ -107,6 +110,46 @@ def weekly_report(tz: str = "UTC", start_of_week: str = "sunday", months: MonthF
     return Report("weekly", lambda: {"date": local_date("ts", tz)}, roll_up)
 
 
+def _by_day_bits(name: str, key: str, parts: Callable[[], tuple[Column, Column]], chosen: Callable[[DataFrame], DataFrame]) -> Report:
+    """A report per period whose meters hold a bit for each day of it; ``parts`` are the period and the number of the day in it.
+
+    Meters of any batches are added up by ``bit_or``, so days are counted exactly, and there
+    is one row per period and model where daily meters have one per day.
+    """
+
+    def bits() -> list[Column]:
+        return [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), parts()[1].cast("int"))).alias(DAY_BITS)]
+
+    def roll_up(meters: DataFrame) -> DataFrame:
+        days = F.bit_count(F.bit_or(DAY_BITS)).cast("bigint").alias("active_days")
+        return chosen(meters.groupBy(key).agg(*summed(), days)).orderBy(key)
+
+    return Report(name, lambda: {key: parts()[0]}, roll_up, bits)
+
+
+def monthly_bits_report(tz: str = "UTC", months: MonthFilter = MonthFilter()) -> Report:
+    """``monthly_report`` over meters of whole months."""
+    tz = parse_zone(tz)
+
+    def parts() -> tuple[Column, Column]:
+        day = local_date("ts", tz)
+        return month_text(day), F.dayofmonth(day) - 1
+
+    return _by_day_bits("monthly_bits", "month", parts, months.apply_months)
+
+
+def weekly_bits_report(tz: str = "UTC", start_of_week: str = "sunday", months: MonthFilter = MonthFilter()) -> Report:
+    """``weekly_report`` over meters of whole weeks."""
+    tz, first = parse_zone(tz), parse_weekday(start_of_week)
+
+    def parts() -> tuple[Column, Column]:
+        day = local_date("ts", tz)
+        week = week_start(day, first)
+        return week, F.datediff(day, week)
+
+    return _by_day_bits("weekly_bits", "week", parts, months.apply_weeks)
+
+
 def session_report() -> Report:
     """Per session; its model is that of the first entry by (time, position)."""
     return Report(

@@ -2,9 +2,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterlake import (
-    billing_blocks, block_sessions, blocks_from_sessions, filter_blocks, sessions, with_token_warnings,
+    billing_blocks, block_projects, block_sessions, blocks_from_sessions, filter_blocks, sessions, with_token_warnings,
 )
 from meterlake.functions.args import duration_micros, parse_token_limit
 from meterlake.operators.blocks import BlockRule, fold_units
@@ -165,3 +166,24 @@ def test_many_blocks_in_one_timeline(spark):
     units = spark.range(3000).selectExpr("id * 4 AS _unit")
     rows = fold_units(units, BlockRule(1.0)).collect()
     assert sorted((r["_start_hour"], r["_unit"]) for r in rows) == [(2 * k, 4 * k) for k in range(3000)]
+
+
+@pytest.mark.parametrize("keys", [(), ("session_id",), ("project",)])
+def test_projects_as_rows(spark, prices, make_usage, keys):
+    """Rows and sets say the same, and the filter by rows keeps the same blocks."""
+    usage = make_usage(*[
+        {"ts": DAY + timedelta(minutes=97 * i % 9000), "session_id": f"s{i % 3}", "project": f"p{i % 5}" if i % 4 else None, "input_tokens": i}
+        for i in range(120)])
+    now = LATER
+    blocks = billing_blocks(usage, prices, now, keys=keys).cache()
+    rows = block_projects(usage, keys=keys).cache()
+    shared = [k for k in keys if k != "project"]
+    sets = blocks.where("NOT is_gap").select(*shared, F.col("start_time").alias("block_start"), F.explode("projects_used").alias("project"))
+    assert sorted(map(tuple, sets.distinct().collect())) == sorted(map(tuple, rows.select(sets.columns).collect()))
+    slim = billing_blocks(usage, prices, now, keys=keys, project_sets=False)
+    assert {r["projects_used"] for r in slim.collect()} == {None}
+    wanted = filter_blocks(blocks, now, project="p3").drop("projects_used")
+    got = filter_blocks(slim, now, project="p3", projects=rows).drop("projects_used")
+    assert wanted.count() and sorted(map(repr, wanted.collect())) == sorted(map(repr, got.collect()))
+    with pytest.raises(ValueError):
+        block_projects(usage, hours=0.5)

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake import (
-    MonthFilter, UsageFilter, daily, daily_by_instance, daily_detailed, monthly, other_provider_report,
-    primary_provider_report, read_usage, sessions, totals, weekly, with_totals,
+    MonthFilter, UsageFilter, daily, daily_by_instance, daily_detailed, monthly, monthly_bits_report, monthly_report, other_provider_report,
+    primary_provider_report, read_usage, sessions, totals, weekly, weekly_bits_report,
+    weekly_report, with_totals,
 )
 from meterlake.functions.args import parse_date, parse_instant, parse_weekday, parse_zone
+from meterlake.operators.meters import merge_meters
 from meterlake.schemas import TOKENS
 from tests.conftest import claude_line
 
@@ -183,3 +185,20 @@ def test_arguments():
     with pytest.raises(ValueError):
         parse_zone("Mars/Olympus")
     assert parse_instant("2024-01-01T02:00:00+02:00") == parse_instant("2024-01-01T00:00:00")
+
+
+def test_day_bits_equal_distinct_days(spark, prices, make_usage):
+    """Bits of overlapping batches add up to the days; each batch and the whole have a row per period and model only."""
+    base = datetime(2024, 1, 28, 3)
+    usage = make_usage(*[{"ts": base + timedelta(hours=(7 * i) % 1700), "model": f"claude-{2 + i % 2}", "input_tokens": i} for i in range(90)])
+    for bits, days in [
+        (monthly_bits_report("America/New_York"), monthly_report("America/New_York")),
+        (weekly_bits_report("UTC", "wednesday"), weekly_report("UTC", "wednesday")),
+    ]:
+        first, rest = usage.where("_ord % 3 = 0"), usage.where("_ord % 3 <> 0")
+        merged = merge_meters(bits.compact(first).unionByName(bits.compact(rest)))
+        wanted = days.run(usage, prices).collect()
+        assert bits.from_meters(merged, prices).collect() == wanted == bits.run(usage, prices).collect()
+        assert merged.count() <= 2 * len(wanted)
+        with pytest.raises(ValueError):
+            bits.compact_changes(usage.withColumn("sign", F.lit(1)))
