@@ -116,19 +116,23 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, penalty: float = 4e-4, round
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fits on at most ``sample`` labelled documents; only their feature numbers reach the driver."""
+    """Fits on at most ``sample`` labelled documents; only their feature numbers reach the driver.
+
+    Of the texts of one id, and of equal labels of it, one counts: that of the least feature numbers.
+    """
     graded = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade")
     )
-    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    chosen = graded.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t.as_py() or "").astype(np.int32) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), batch.column(1)], names=["features", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), *batch.columns[1:]], names=["features", "doc_id", "grade"])
 
-    # at most ``sample`` rows of a long and an int
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(extract, "features binary, grade int").collect()
+    # at most ``sample`` rows of a long and an int are broadcast, and as many are collected
+    found = docs.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "grade").mapInArrow(extract, "features binary, doc_id long, grade int")
+    rows = found.groupBy("doc_id", "grade").agg(F.min("features").alias("features")).collect()
     rows.sort(key=lambda r: (r["grade"], bytes(r["features"])))
     return fit([np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64))
 

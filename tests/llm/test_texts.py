@@ -278,6 +278,18 @@ def test_quality_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert quality.classify(odd_docs, labels.where("false")).where("keep").count() == len(odd_rows)
 
 
+def test_quality_counts_a_labelled_id_once(spark, monkeypatch):
+    """However many rows an id has, and however often it is labelled alike, the driver gets one of each grade."""
+    rows = [(7, f"text number {k % 3}") for k in range(3000)] + [(8, "good words here"), (9, "bad words there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0)] * 5 + [(7, 0, 0), (8, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    got = []
+    monkeypatch.setattr(quality, "fit", lambda features, grades: got.append((len(features), sorted(grades.tolist()))))
+    quality.train(docs, labels)
+    quality.train(docs.repartition(7), labels)
+    assert got == [(4, [0, 1, 2, 2])] * 2
+
+
 def test_empty_tables(no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0
     assert suffix_dedup.remove_repeats(no_docs, digest=True).count() == 0
