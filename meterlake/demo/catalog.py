@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from meterlake.streaming.blocks import BlockWatch, start_block_watch
 from meterlake.streaming.folder import refresh, watched_usage
 from meterlake.streaming.live import read_meters, start_watch
 from meterlake.streaming.retract import dedup_changes, settled_meters, start_exact_watch, state_conf
-from meterlake.streaming.tail import tail_lines
+from meterlake.streaming.tail import open_folder, tail_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,9 +197,12 @@ def _read_files(provider: str, lines: Callable[[DataFrame], DataFrame], deep: bo
 def _recent_files(events: DataFrame) -> DataFrame:
     """Files of sessions with an even number were written to lately; those of the others are older than the limit."""
     spark, limit = events.sparkSession, datetime(2024, 1, 1, tzinfo=timezone.utc)
-    folder = wire.write_logs(wire.claude_lines(events))
-    wire.set_file_time(spark, f"{folder}/*/s*[13579].jsonl", limit - timedelta(seconds=1))
-    wire.set_file_time(spark, f"{folder}/*/s*[02468].jsonl", limit)
+    older, at_limit = F.lit(limit - timedelta(seconds=1)), F.lit(limit)
+    modified = F.when(F.col("_file").rlike(r"/s[^/]*[13579]\.jsonl$"), older).when(F.col("_file").rlike(r"/s[^/]*[02468]\.jsonl$"), at_limit)
+    folder = wire.write_logs(wire.claude_lines(events), modified=modified)
+    if not isinstance(open_folder(folder)[0], LocalFileSystem):
+        wire.set_file_time(spark, f"{folder}/*/s*[13579].jsonl", limit - timedelta(seconds=1))
+        wire.set_file_time(spark, f"{folder}/*/s*[02468].jsonl", limit)
     return _usage_columns(read_usage(spark, "claude", folder, modified_since=limit))
 
 
@@ -362,8 +366,7 @@ QUERIES: dict[str, Query] = {
     "read_claude": _read_files("claude", wire.claude_lines),
     "read_claude_recent": _wire_query(_recent_files),
     "read_codex": _read_files("codex", wire.codex_lines, deep=True),
-    "read_amp": _read_files("amp", lambda e: wire.amp_documents(e).select(
-        "value", F.concat(F.lit("threads/"), "_file").alias("_file"), F.lit(0).alias("_ord")), deep=True),
+    "read_amp": _read_files("amp", wire.amp_files, deep=True),
     "read_pi": _read_files("pi", wire.pi_lines),
     "provider_union": _wire_query(_provider_union),
     "blocks_global": _query(lambda u, p: billing_blocks(u, p, AS_OF)),

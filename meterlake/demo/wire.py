@@ -6,16 +6,24 @@ fields and time stamps that no parser may accept, at fixed rates.
 
 from __future__ import annotations
 
+import itertools
+import os
 import uuid
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.demo.events import usage_from_events
 from meterlake.session import scratch_dir
+from meterlake.streaming.tail import open_folder
 
 AMP_THREAD_EVENTS = 500
+AMP_BUNDLE_PARTS = 64
 CODEX_CHUNK_EVENTS = 1000
 
 
@@ -96,33 +104,62 @@ def codex_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def write_logs(lines: DataFrame, folder: str | None = None) -> str:
+def write_logs(lines: DataFrame, folder: str | None = None, modified: Column | None = None) -> str:
     """The lines as real log files, one per ``_file``, below a folder in the shared scratch space.
 
-    Spark names its text files itself, so they are moved to their names afterwards;
-    ``folder`` is an earlier result, whose files of the same name are replaced.
+    Tasks write the files under their names, so neither the driver nor a commit handles them one by
+    one; a file is put in place by a rename, whichever attempt of a task comes last. ``folder`` is an
+    earlier result, whose files of the same name are replaced. ``modified`` is the time at which a
+    file was last written to, as far as it is not null; only local folders keep it.
     """
-    spark = lines.sparkSession
-    written = f"{scratch_dir(spark)}/written-{uuid.uuid4()}"
-    folder = folder or f"{scratch_dir(spark)}/logs-{uuid.uuid4()}"
+    folder = folder or f"{scratch_dir(lines.sparkSession)}/logs-{uuid.uuid4()}"
     place = lines.select(
-        "value", "_ord", F.regexp_extract("_file", "([^/]*)/[^/]*$", 1).alias("dir"), F.regexp_extract("_file", "([^/]*)$", 1).alias("name"))
-    named = place.withColumn("dir", F.url_decode("dir")).repartition("dir", "name").sortWithinPartitions("dir", "name", "_ord")
-    named.drop("_ord").write.partitionBy("dir", "name").text(written)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(written)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for parts in system.globStatus(hadoop.Path(written, "dir=*/name=*/part-*")):
-        source = parts.getPath()
-        name, parent = source.getParent().getName(), source.getParent().getParent().getName()
-        target = hadoop.Path(f"{folder}/{parent.removeprefix('dir=')}/{name.removeprefix('name=')}")
-        system.mkdirs(target.getParent())
-        system.delete(target, False)
-        system.rename(source, target)
-    system.delete(root, True)
+        F.url_decode(F.regexp_extract("_file", "([^/]*)/[^/]*$", 1)).alias("dir"), F.regexp_extract("_file", "([^/]*)$", 1).alias("name"),
+        F.unix_seconds(F.lit(None).cast("timestamp") if modified is None else modified).alias("modified"), "_ord", "value")
+    named = place.repartition("dir", "name").sortWithinPartitions("dir", "name", "_ord").drop("_ord")
+    named.mapInArrow(_FileWriter(folder), "files bigint").agg(F.sum("files")).first()
     return folder
 
 
+class _FileWriter:
+    """Writes rows that are sorted by file; gives the number of files."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = open_folder(self.folder)
+        made: set[str] = set()
+        current, stream, files = None, None, 0
+        for batch in batches:
+            columns = [batch.column(name).to_pylist() for name in ("dir", "name", "modified", "value")]
+            for file, rows in itertools.groupby(zip(*columns), key=lambda row: row[:3]):
+                if file != current:
+                    if stream:
+                        self._close(filesystem, root, current, stream)
+                    if file[0] not in made:
+                        filesystem.create_dir(f"{root}/{file[0]}", recursive=True)
+                        made.add(file[0])
+                    current, files = file, files + 1
+                    stream = filesystem.open_output_stream(self._unfinished(root, file))
+                stream.write("".join(f"{row[3] or ''}\n" for row in rows).encode())
+        if stream:
+            self._close(filesystem, root, current, stream)
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    @staticmethod
+    def _unfinished(root: str, file: tuple) -> str:
+        """A hidden name, which no reader sees."""
+        return f"{root}/{file[0]}/.{file[1]}.{TaskContext.get().taskAttemptId()}"
+
+    def _close(self, filesystem: fs.FileSystem, root: str, file: tuple, stream) -> None:
+        stream.close()
+        written = self._unfinished(root, file)
+        if file[2] is not None and isinstance(filesystem, fs.LocalFileSystem):
+            os.utime(written, (file[2], file[2]))
+        filesystem.move(written, f"{root}/{file[0]}/{file[1]}")
+
+
 def set_file_time(spark: SparkSession, pattern: str, moment: datetime) -> None:
     """Makes the files look as if last written at ``moment``."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -174,7 +211,18 @@ def amp_documents(events: DataFrame) -> DataFrame:
         F.concat(F.transform("items", lambda i: i["early"]), F.transform("items", lambda i: i["late"])).alias("messages"),
         F.struct(F.transform("items", lambda i: i["event"]).alias("events")).alias("usageLedger"),
     )
-    return threads.select(_rendered(F.to_json(document)), F.concat(thread_id, F.lit(".json")).alias("_file"))
+    return threads.select(_rendered(F.to_json(document)), F.concat(thread_id, F.lit(".json")).alias("_file"), "part")
+
+
+def amp_files(events: DataFrame) -> DataFrame:
+    """Threads of the first events as a file each, the others as lines of bundles.
+
+    There are nearly as many threads as events. Those of the first part are at most
+    ``AMP_THREAD_EVENTS``, and a bundle holds ``AMP_BUNDLE_PARTS`` parts.
+    """
+    bundle = F.format_string("T-bundle-%08d.jsonl", F.floor(F.col("part") / AMP_BUNDLE_PARTS))
+    file = F.when(F.col("part") == 0, F.col("_file")).otherwise(bundle)
+    return amp_documents(events).select("value", F.concat(F.lit("threads/"), file).alias("_file"), F.lit(0).alias("_ord"))
 
 
 def pi_lines(events: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Amp logs: one JSON object per thread file, with messages and a usage ledger."""
+"""Amp logs: one JSON object per thread file, with messages and a usage ledger.
+
+Threads are small and many. Files ``T-*.jsonl`` hold any number of them, one per line, and are
+read as splittable text beside the single ones.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.time import parse_rfc3339
 from meterlake.schemas import USAGE_COLUMNS
-from meterlake.sources.lines import all_counts, count_of, json_rows, read_documents
+from meterlake.sources.lines import all_counts, count_of, json_rows, read_documents, read_lines
 
 # Wire fields (fixed values of the log format).
 RECORD = """
@@ -21,7 +25,9 @@ RECORD = """
 
 
 def read(spark: SparkSession, paths: str | list[str], modified_since: datetime | None = None) -> DataFrame:
-    return parse(read_documents(spark, paths, "T-*.json", modified_since))
+    bundles = read_lines(spark, paths, "T-*.jsonl", modified_since=modified_since)
+    bundled = bundles.select("value", F.concat("_file", F.lit("#"), F.col("_ord").cast("string")).alias("_file"))
+    return parse(read_documents(spark, paths, "T-*.json", modified_since).unionByName(bundled))
 
 
 def parse(documents: DataFrame) -> DataFrame:

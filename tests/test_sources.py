@@ -1,10 +1,12 @@
 """Readers of the five log formats, on small files with known answers."""
 
+import json
 import os
 from datetime import datetime, timezone
 
 import pytest
 
+from meterlake.demo import wire
 from meterlake.schemas import TOKENS, USAGE_COLUMNS
 from meterlake.sources import PROVIDERS, claude, read_usage, skipped_lines, union_usage
 from meterlake.sources.lines import read_lines
@@ -284,3 +286,23 @@ def test_json_is_parsed_once(spark, put):
     root = put("x.jsonl", claude_line())
     plan = read_usage(spark, "claude", root)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("from_json") == 1
+
+
+def test_amp_bundles_hold_a_thread_per_line(spark, put):
+    def thread(name, tokens):
+        event = {"messageId": "m", "model": "x", "inputTokens": tokens, "outputTokens": 1, "createdAt": "2024-01-15T10:00:00Z"}
+        usage = {"cache_creation_input_tokens": tokens + 1, "cache_read_input_tokens": 0}
+        return {"id": name, "messages": [{"id": "m", "usage": usage}], "usageLedger": {"events": [event, event]}}
+
+    put("threads/T-one.json", json.dumps(thread("T-one", 1), indent=1))
+    folder = put("threads/T-many.jsonl", thread("T-two", 2), "broken", thread("T-three", 3))
+    rows = read_usage(spark, "amp", f"{folder}/threads").collect()
+    assert sorted((r["session_id"], r["input_tokens"], r["cache_creation_tokens"]) for r in rows) == [
+        ("T-one", 1, 2), ("T-one", 1, 2), ("T-three", 3, 4), ("T-three", 3, 4), ("T-two", 2, 3), ("T-two", 2, 3)]
+    assert len({(r["_file"], r["_ord"]) for r in rows}) == 6
+
+
+def test_amp_files_of_the_demo_are_far_fewer_than_threads(spark):
+    events = spark.range(200_000).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props")
+    assert wire.amp_files(events).select("_file").distinct().count() <= wire.AMP_THREAD_EVENTS + 8
