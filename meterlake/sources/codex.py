@@ -29,6 +29,7 @@ RECORD = f"""
     payload struct<type: string, info: struct<total_token_usage: {_TOTALS}, last_token_usage: {_TOTALS}>>
 """
 BEFORE_CHUNK = -1
+WRITERS_PER_CORE = 16
 
 
 def read(spark: SparkSession, paths: str | list[str], modified_since: datetime | None = None) -> DataFrame:
@@ -40,9 +41,11 @@ def parse(lines: DataFrame) -> DataFrame:
 
     The few fields that matter are parsed once and written, with the chunks of
     this one scan; what chunks inherit and the rows are both derived from that
-    table. A second scan could be split at other places.
+    table. A second scan could be split at other places. Tasks write several splits to a
+    file, as small logs have very many.
     """
-    events = stage(_events(lines))
+    tasks = WRITERS_PER_CORE * lines.sparkSession.sparkContext.defaultParallelism
+    events = stage(_events(lines).coalesce(tasks))
     deltas = _deltas(events, _inherited(events))
     return deltas.where((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0)).select(
         F.lit("codex").alias("provider"),
