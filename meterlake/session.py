@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -67,6 +68,14 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def subfolders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders directly below those that match, escaped for use as paths of a reader; the files in them are not listed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{pattern.rstrip('/')}/*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", status.getPath().toString()) for status in found if status.isDirectory()]
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Removes a folder in whatever file system it is; a missing one is no error."""
     jvm = spark.sparkContext._jvm

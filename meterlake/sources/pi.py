@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.time import parse_rfc3339
 from meterlake.schemas import USAGE_COLUMNS
+from meterlake.session import subfolders
 from meterlake.sources.lines import all_counts, count_of, file_stem, json_rows, parent_name, read_lines
 
 # Wire fields (fixed values of the log format).
@@ -22,8 +23,9 @@ MODEL_PREFIX = "[pi] "
 
 def read(spark: SparkSession, paths: str | list[str], modified_since: datetime | None = None) -> DataFrame:
     roots = [paths] if isinstance(paths, str) else list(paths)
-    projects = [f"{root.rstrip('/')}/*/*.jsonl" for root in roots]
-    return parse(read_lines(spark, projects, "*.jsonl", modified_since=modified_since))
+    # folders are listed; a pattern down to the files would make every file a path to look up
+    projects = [folder for root in roots for folder in subfolders(spark, root)]
+    return parse(read_lines(spark, [projects] if projects else [], "*.jsonl", modified_since=modified_since))
 
 
 def parse(lines: DataFrame) -> DataFrame:

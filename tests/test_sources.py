@@ -8,6 +8,7 @@ import pytest
 
 from meterlake.demo import wire
 from meterlake.schemas import TOKENS, USAGE_COLUMNS
+from meterlake.session import subfolders
 from meterlake.sources import PROVIDERS, claude, read_usage, skipped_lines, union_usage
 from meterlake.sources.lines import read_lines
 from tests.conftest import claude_line
@@ -306,3 +307,14 @@ def test_amp_files_of_the_demo_are_far_fewer_than_threads(spark):
     events = spark.range(200_000).selectExpr(
         "id AS event_id", "timestamp'2024-01-01' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props")
     assert wire.amp_files(events).select("_file").distinct().count() <= wire.AMP_THREAD_EVENTS + 8
+
+
+def test_pi_folders_are_listed_and_not_their_files(spark, put):
+    line = {"timestamp": "2024-01-15T10:00:00Z", "message": {"role": "assistant", "usage": {"input": 1}}}
+    put("a [x]/s1.jsonl", line)
+    put("b/s2.jsonl", line)
+    put("b/deeper/s3.jsonl", line)
+    root = put("s4.jsonl", line)
+    assert len(subfolders(spark, root)) == 2
+    rows = read_usage(spark, "pi", root).collect()
+    assert sorted((r["project"], r["session_id"]) for r in rows) == [("a [x]", "s1"), ("b", "s2")]
