@@ -151,9 +151,12 @@ def settled(meters: DataFrame, usage: DataFrame, report: Report | BlockReport) -
     sums = merge_meters(meters).where("n_entries > 0")
     keys = [name for name in sums.columns if name not in (*METERS, TAKEN_BACK)]
     extremes = ["first_ts", "last_ts", "first_arrival"]
+    rest = [c for c in sums.columns if c not in (*extremes, TAKEN_BACK)]
+    if meters.where(F.col(TAKEN_BACK) > 0).isEmpty():
+        return sums.select(*rest, *extremes)  # ``usage`` need not be read
     doubtful = sums.where(F.col(TAKEN_BACK) > 0).select(*[F.col(key).alias(f"_k_{key}") for key in keys])
     of_group = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
     again = report.compact(usage).join(doubtful, of_group, "left_semi")
     again = again.select(*[F.col(key).alias(f"_k_{key}") for key in keys], *[F.col(e).alias(f"_{e}") for e in extremes])
     right = [F.coalesce(f"_{e}", e).alias(e) for e in extremes]
-    return sums.join(again, of_group, "left").select(*[c for c in sums.columns if c not in (*extremes, TAKEN_BACK)], *right)
+    return sums.join(again, of_group, "left").select(*rest, *right)

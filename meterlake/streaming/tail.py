@@ -51,6 +51,13 @@ SPLIT_BYTES = 64 << 20
 #: Bytes that tell files apart, at the beginning and before the old end.
 PROBE = 1024
 
+#: What opening a file counts for in bytes, and the tasks that few files are spread over.
+OPEN_COST = 256 << 10
+MIN_TASKS = 32
+
+#: Lines of small files that go to Spark together.
+BATCH_LINES = 4096
+
 _BLOCK = 1 << 20
 
 #: Position of a line: its generation times this, plus its first byte.
@@ -83,6 +90,13 @@ class ByteRange(InputPartition):
     end: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: list[ByteRange]
+
+
 @dataclass
 class Known:
     """What is known of a file: all bytes before ``size`` have been handed out."""
@@ -130,16 +144,40 @@ class TailReader(DataSourceStreamReader):
         for version in range(start["version"] + 1, end["version"] + 1):
             for path, generation, first, last in self._load(version)["ranges"]:
                 found += [ByteRange(path, generation, a, min(a + self.split, last)) for a in range(first, last, self.split)]
-        return found
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        return self._packed(found)
+
+    def _packed(self, ranges: list[ByteRange]) -> list[ByteRanges]:
+        """Small files share a task, up to ``split_bytes`` with ``OPEN_COST`` for each; few files have a task each."""
+        sizes = [r.end - r.start + OPEN_COST for r in ranges]
+        most = min(self.split, sum(sizes) / MIN_TASKS)
+        packed: list[ByteRanges] = []
+        held = 0
+        for byte_range, size in zip(ranges, sizes):
+            if not packed or held + size > most:
+                packed.append(ByteRanges([]))
+                held = 0
+            packed[-1].ranges.append(byte_range)
+            held += size
+        return packed
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         filesystem, root = open_folder(self.path)
-        name = partition.path if isinstance(filesystem, fs.LocalFileSystem) else f"{self.path.rstrip('/')}{partition.path.removeprefix(root)}"
-        shown = f"file://{quote(partition.path)}" if isinstance(filesystem, fs.LocalFileSystem) else name
-        with filesystem.open_input_file(partition.path) as file:
-            for values, positions in _lines(file, partition.start, partition.end):
-                ords = [partition.generation * GENERATION + p for p in positions]
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([shown] * len(values)), pa.array(ords, pa.int64())], schema=_ROWS)
+        values: list[str] = []
+        names: list[str] = []
+        ords: list[int] = []
+        for part in partition.ranges:
+            name = part.path if isinstance(filesystem, fs.LocalFileSystem) else f"{self.path.rstrip('/')}{part.path.removeprefix(root)}"
+            shown = f"file://{quote(part.path)}" if isinstance(filesystem, fs.LocalFileSystem) else name
+            with filesystem.open_input_file(part.path) as file:
+                for lines, positions in _lines(file, part.start, part.end):
+                    values += lines
+                    names += [shown] * len(lines)
+                    ords += [part.generation * GENERATION + p for p in positions]
+                    if part.end - part.start > _BLOCK or len(values) >= BATCH_LINES:
+                        yield _rows(values, names, ords)
+                        values, names, ords = [], [], []
+        if values:
+            yield _rows(values, names, ords)
 
     def commit(self, end: dict) -> None:
         """Versions before the last full one that is no later than ``end`` are not needed any more."""
@@ -218,6 +256,10 @@ def _probe(file, size: int) -> str:
     return hashlib.sha256(head + b"|" + file.read_at(size - last, last)).hexdigest()
 
 
+def _rows(values: list[str], names: list[str], ords: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(names, pa.string()), pa.array(ords, pa.int64())], schema=_ROWS)
+
+
 def _lines(file, start: int, end: int) -> Iterator[tuple[list[str], list[int]]]:
     """Lines whose end lies in the range, with the byte each begins at."""
     rest, at = None, start  # bytes since the last line end, once one was seen

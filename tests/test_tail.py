@@ -132,3 +132,14 @@ def test_nothing_there(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("nothing").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("nothing").count() == 0
+
+
+def test_small_files_share_tasks(tmp_path):
+    reader = tail.TailReader({"path": str(tmp_path), "state": str(tmp_path / "state")})
+    (tmp_path / "logs").mkdir()
+    for number in range(2000):
+        (tmp_path / "logs" / f"{number:04d}.jsonl").write_text(f"line {number}\nmore\n")
+    tasks = reader.partitions({"version": 0}, reader.latestOffset())
+    assert len(tasks) <= 2 * tail.MIN_TASKS
+    rows = [value for task in tasks for batch in reader.read(task) for value in batch.column("value").to_pylist()]
+    assert sorted(rows) == sorted([f"line {n}" for n in range(2000)] + ["more"] * 2000)
