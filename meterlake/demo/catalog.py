@@ -105,14 +105,20 @@ def _stream_query(report) -> Query:
     return run
 
 
+def _in_batches(spark: SparkSession, sf_dir: str, folder: str, batches: int) -> DataFrame:
+    """The shuffled events as a stream of ``batches`` micro-batches, each of as many files as there are cores."""
+    events, files = read_events(spark, sf_dir), spark.sparkContext.defaultParallelism
+    events.repartition(batches * files, "event_id").write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def _batches_query(report, batches: int = 4) -> Query:
-    """The report by a streaming job, over the events in several files, one per micro-batch."""
+    """The report by a streaming job, over the events in several micro-batches."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pin_utc(spark)
         folder = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
-        read_events(spark, sf_dir).repartition(batches, "event_id").write.parquet(f"{folder}/events")
-        files = spark.readStream.schema(read_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        files = _in_batches(spark, sf_dir, f"{folder}/events", batches)
         start_watch(usage_from_events(files), report, f"{folder}/meters", f"{folder}/checkpoint").awaitTermination()
         return flat(report.from_meters(read_meters(spark, f"{folder}/meters"), default_prices(spark)))
 
@@ -160,8 +166,7 @@ def _block_watch(report: reports.BlockReport, result: Callable[[BlockWatch], Dat
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pin_utc(spark)
         folder = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
-        read_events(spark, sf_dir).repartition(batches, "event_id").write.parquet(f"{folder}/events")
-        files = spark.readStream.schema(read_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        files = _in_batches(spark, sf_dir, f"{folder}/events", batches)
         changes = usage_from_events(files).withColumn("sign", F.lit(1))
         start_block_watch(changes, report, default_prices(spark), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
         return flat(result(BlockWatch(spark, f"{folder}/table", report, default_prices(spark))))
@@ -176,8 +181,7 @@ def _active_watch(minutes: int, batches: int = 3) -> Query:
         pin_utc(spark)
         state_conf(spark)
         folder = f"{scratch_dir(spark)}/watch-{uuid.uuid4()}"
-        read_events(spark, sf_dir).repartition(batches, "event_id").write.parquet(f"{folder}/events")
-        files = spark.readStream.schema(read_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        files = _in_batches(spark, sf_dir, f"{folder}/events", batches)
         start_active_watch(active_counts(usage_from_events(files), minutes), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
         return flat(read_active(spark, f"{folder}/table"))
 
