@@ -318,3 +318,15 @@ def test_pi_folders_are_listed_and_not_their_files(spark, put):
     assert len(subfolders(spark, root)) == 2
     rows = read_usage(spark, "pi", root).collect()
     assert sorted((r["project"], r["session_id"]) for r in rows) == [("a [x]", "s1"), ("b", "s2")]
+
+
+def test_demo_log_files_are_written_whole_with_their_time(spark):
+    lines = spark.range(3000).selectExpr("concat('line ', id) AS value", "concat('a/', id % 300, '.jsonl') AS _file", "id AS _ord")
+    moment = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    folder = wire.write_logs(lines.where("_ord < 1500"))
+    assert wire.write_logs(lines, folder, modified=wire.F.lit(moment)) == folder
+    path = folder.removeprefix("file:")
+    assert sorted(os.listdir(f"{path}/a")) == sorted(f"{n}.jsonl" for n in range(300))  # no hidden leftovers, no checksums
+    with open(f"{path}/a/7.jsonl") as file:
+        assert file.read() == "".join(f"line {n}\n" for n in range(7, 3000, 300))
+    assert os.path.getmtime(f"{path}/a/7.jsonl") == moment.timestamp()
