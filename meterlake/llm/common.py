@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +99,27 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_remembered: dict = {}
+
+
+def remembered(owner: str, make: Callable):
+    """What an operator keeps in a Python worker between its tasks; that of another operator goes."""
+    if owner not in _remembered:
+        give_back()
+        _remembered[owner] = make()
+    return _remembered[owner]
+
+
+def give_back() -> None:
+    """Drops what operators have kept in this Python worker, which outlives their stages, and returns its memory."""
+    if _remembered:
+        _remembered.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def spread(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

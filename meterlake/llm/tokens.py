@@ -2,7 +2,9 @@
 
 White space never lies inside a pre-token of these tokenizers, so a text is cut
 at blanks and line ends, and a chunk between them is encoded once and looked up
-afterwards. The number of chunks that are remembered is bounded.
+afterwards. A pre-token is a chunk like any other; new ones are encoded some
+hundreds at a time, as a text with blanks between them. The number of chunks that
+are remembered is bounded.
 """
 
 from __future__ import annotations
@@ -16,8 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import remembered
+
 #: Chunks and pre-tokens that a worker remembers at most, but for those of the texts at hand.
-REMEMBERED_CHUNKS, REMEMBERED_WORDS = 700_000, 500_000
+REMEMBERED_CHUNKS = 700_000
+
+#: Pre-tokens that the library encodes as one text.
+TOGETHER = 500
 
 #: Characters whose case and normal form need no context: Latin letters, digits, marks.
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ſ]*+")
@@ -50,10 +57,39 @@ class Library:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        model = json.loads(vocabulary)["model"]
+        self.suffix = model.get("end_of_word_suffix")
+        self.last = np.zeros(max(model["vocab"].values(), default=0) + 1, bool)
+        if self.suffix:
+            self.last[[i for token, i in model["vocab"].items() if token.endswith(self.suffix)]] = True
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pre-tokens in one array, and how many each has.
+
+        The last id of a pre-token carries the suffix, so the ids of many are cut there. Where that
+        does not give as many pieces as there are pre-tokens, they are encoded one by one.
+        """
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        together = self([" ".join(group) for group in groups]) if self.suffix else [[]] * len(groups)
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, found in zip(groups, together):
+            found = np.array(found, np.uint32)
+            size = np.diff(np.flatnonzero(self.last[np.minimum(found, len(self.last) - 1)]), prepend=-1)
+            if len(size) != len(group) or size.sum() != len(found):
+                found, size = flattened(self(group))
+            ids.append(found)
+            lengths.append(size)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the lists in one array, and the length of each."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
 
 def _simplified(texts: pa.Array) -> pa.Array:
     """Fewer different chunks with the same pre-tokens.
@@ -72,25 +108,23 @@ class Encoder:
     def __init__(self, words, split, whole, mark: str = "<|"):
         self.words, self.split, self.whole, self.mark = words, split, whole, mark
         self.code: dict[str, int] = {}
-        self.known: dict[str, int] = {}
-        self.stores = {"code": Ragged(), "known": Ragged()}
+        self.store = Ragged()
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known, self.stores["known"] = {}, Ragged()
-        plain = [c for c in chunks if _PLAIN.fullmatch(c) and self.mark not in c]
-        odd = sorted(set(chunks).difference(plain))
-        cuts = [self.split(c.lower()) for c in plain]
-        missing = list(set(chain.from_iterable(cuts)).difference(self.known))
+        words = [c for c in chunks if c.isascii() and c.isalpha() and c.islower()]
+        others = set(chunks).difference(words)
+        cuts = {c: self.split(c.lower()) for c in others if _PLAIN.fullmatch(c) and self.mark not in c}
+        odd = sorted(others.difference(cuts))
+        missing = list(set(words).union(*cuts.values()).difference(self.code))
         if missing:
-            self.known.update(zip(missing, self.stores["known"].add(self.words(missing))))
-        parts = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64)
-        ids, lengths = self.stores["known"].take(parts)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))]
-        store = self.stores["code"]
-        self.code.update(zip(plain, store.append(ids, np.diff(ends, prepend=0))))
+            self.code.update(zip(missing, self.store.add(self.words(missing))))
+        cuts = {c: cut for c, cut in cuts.items() if cut != [c]}
+        parts = np.fromiter(map(self.code.__getitem__, chain.from_iterable(cuts.values())), np.int64)
+        ids, lengths = self.store.take(parts)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.fromiter(map(len, cuts.values()), np.int64, len(cuts)))]
+        self.code.update(zip(cuts, self.store.append(ids, np.diff(ends, prepend=0))))
         if odd:
-            self.code.update(zip(odd, store.add(self.whole(odd))))
+            self.code.update(zip(odd, self.store.add(self.whole(odd))))
 
     def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
@@ -98,14 +132,14 @@ class Encoder:
         pieces = pc.ascii_split_whitespace(_simplified(texts.cast(pa.large_string()).fill_null("")))
         counts = pc.list_value_length(pieces).fill_null(0).to_numpy(zero_copy_only=False)
         coded = pieces.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.code) > REMEMBERED_CHUNKS:
-            self.code, self.stores["code"] = {}, Ragged()
+            self.code, self.store = {}, Ragged()
         missing = [c for c in chunks if c not in self.code]
         if missing:
             self._learn(missing)
         places = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
-        ids, lengths = self.stores["code"].take(places[coded.indices.to_numpy(zero_copy_only=False)] if len(chunks) else places)
+        ids, lengths = self.store.take(places[coded.indices.to_numpy(zero_copy_only=False)] if len(chunks) else places)
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
@@ -128,9 +162,9 @@ class Ragged:
         self.used += len(ids)
         return range(first, self.n)
 
-    def add(self, lists: list[list[int]]) -> range:
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        return self.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths)
+    def add(self, lists: list[list[int]] | tuple[np.ndarray, np.ndarray]) -> range:
+        """Lists of ids, or all their ids in one array and the lengths."""
+        return self.append(*(lists if isinstance(lists, tuple) else flattened(lists)))
 
     def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.length[places].astype(np.int64)
@@ -138,16 +172,14 @@ class Ragged:
         return self.flat[np.arange(int(lengths.sum())) + np.repeat(self.start[places] - before, lengths)], lengths
 
 
-_encoders: dict = {}
-
-
 def library_encoder(vocabulary: str) -> Encoder:
     """The worker's encoder for this vocabulary. Kept between tasks of the worker."""
-    key = ("library", hash(vocabulary))
-    if key not in _encoders:
-        words = Library(vocabulary)
-        _encoders[key] = Encoder(words, splitter(json.loads(vocabulary)), words)
-    return _encoders[key]
+
+    def make() -> Encoder:
+        library = Library(vocabulary)
+        return Encoder(library.words, splitter(json.loads(vocabulary)), library)
+
+    return remembered(f"library {hash(vocabulary)}", make)
 
 
 def splitter(spec: dict):

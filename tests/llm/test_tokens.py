@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -41,6 +42,30 @@ def test_encoders_equal_the_library(vocabulary, library):
     assert ["".join(decoder.stream(e, 7)) for e in expected] == library.decode_batch(expected, skip_special_tokens=False)
 
 
+def test_many_words_are_encoded_together(vocabulary):
+    g, library = random.Random(2), tokens.Library(vocabulary)
+    words = sorted({"".join(g.choice("abcdefgé'ßz") for _ in range(g.randint(1, 9))) for _ in range(3000)})
+    words = list(dict.fromkeys(part for w in words for part in tokens.splitter(json.loads(vocabulary))(w)))
+    expected = library(words)
+    sent = []
+    encode = tokens.Library.__call__
+    counting = type("Counting", (tokens.Library,), {"__call__": lambda self, texts: sent.extend(texts) or encode(self, texts)})(vocabulary)
+    ids, lengths = counting.words(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected
+    assert len(sent) <= len(words) / 100
+    ids, lengths = library.words(["two words", "a"])  # not a word each, so there are more pieces than words
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == library(["two words", "a"])
+
+
+def test_words_are_remembered_once(vocabulary):
+    encoder = tokens.library_encoder(vocabulary)
+    encoder(["unseenword unseenword, Unseenword"])
+    held = encoder.store.n
+    encoder(["unseenword", "UNSEENWORD unseenword. x"])
+    assert encoder.store.n <= held + 2
+    assert not hasattr(encoder, "known")
+
+
 def test_transducer_emits_before_the_end_with_bounded_memory(vocabulary):
     t = bpe.codec(vocabulary).transducer
     g = random.Random(2)
