@@ -20,7 +20,7 @@ from meterlake.session import scratch_dir
 SLICE_CHARS = 8_000_000
 
 #: Bytes of a batch that goes to Python while a table is written.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: Bytes of files for one bucket.
 BUCKET_BYTES = 8 << 20
@@ -124,6 +124,13 @@ def spread(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def slices(batch: pa.RecordBatch, text_col: str = "text", most: int = SLICE_CHARS):
     """(first row, texts as an Arrow array) of a batch, about ``most`` bytes at a time."""
     texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string())

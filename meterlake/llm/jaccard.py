@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, row_key, slices, table, texts_of
+from .common import binary_array, give_back, mix, row_key, slices, table, texts_of
 from .graph import components
 
 #: N-grams and sets in a block of a class.
@@ -57,12 +57,6 @@ SLICE = 1_000_000
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct n-grams of each text, sorted, one text after the other, and where each ends."""
     raw = [t.as_buffer().to_pybytes().translate(_PLAIN).decode() if t.is_valid else "" for t in texts]
@@ -84,7 +78,7 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(n):
         at = here + k
         inside = at < stop
-        h[inside] = _mix(h[inside] * np.uint64(0x9E3779B97F4A7C15) + words[np.minimum(at, max(len(words) - 1, 0))[inside]])
+        h[inside] = mix(h[inside] * np.uint64(0x9E3779B97F4A7C15) + words[np.minimum(at, max(len(words) - 1, 0))[inside]])
     first = (here == begin) & (stop - begin < n)
     keep = (here + n <= stop) | first
     h, of = h[keep], np.repeat(np.arange(len(counts)), counts)[keep]
@@ -136,7 +130,7 @@ def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarra
     outs = []
     fragments, spares = np.array(steps.fragments, np.int64), np.array(steps.spares, np.int64)
     high = (h >> np.uint64(32)).astype(np.int64)
-    mixed = _mix(h ^ np.uint64(0xD6E8FEB86659FD93))
+    mixed = mix(h ^ np.uint64(0xD6E8FEB86659FD93))
     for below in (0, 1):
         step = own - below
         valid = (step >= 0) & (sizes > 0)
@@ -155,7 +149,7 @@ def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarra
         spare = spares[np.maximum(step, 0)]
         many = empty > spare
         send = (count > 0) | many[owner]
-        digest = _mix(_mix(value + count.astype(np.uint64)) + (nth.astype(np.uint64) << np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) + step[owner].astype(np.uint64))
+        digest = mix(mix(value + count.astype(np.uint64)) + (nth.astype(np.uint64) << np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) + step[owner].astype(np.uint64))
         left_out = np.where(count == 0, spare[owner], np.maximum(spare - empty, 0)[owner])
         mark = 4 * left_out + 2 * below + (count == 0)
         outs.append((owner[send], digest[send], mark[send].astype(np.int32)))
@@ -166,15 +160,16 @@ def signatures(h: np.ndarray, ends: np.ndarray, steps: Steps) -> tuple[np.ndarra
 
 def _identity(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each set; 0 for the empty one."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h + np.uint64(1)), dtype=np.uint64)])[np.concatenate([[0], ends])]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64)])[np.concatenate([[0], ends])]
     sizes = np.diff(ends, prepend=0)
-    return np.where(sizes > 0, _mix(np.diff(sums) + sizes.astype(np.uint64)), 0).astype(np.uint64).view(np.int64)
+    return np.where(sizes > 0, mix(np.diff(sums) + sizes.astype(np.uint64)), 0).astype(np.uint64).view(np.int64)
 
 
 def describe(keyed: DataFrame, n: int) -> DataFrame:
     """(row, doc_id, n_shingles, set): size and digest of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, held in slices(batch, most=SLICE):
                 h, ends = shingle_sets(held, n)
@@ -189,6 +184,7 @@ def meetings(keyed: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     steps = Steps(threshold)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for _, held in slices(batch, most=SLICE):
                 h, ends = shingle_sets(held, n)
@@ -303,6 +299,7 @@ def candidate_sets(keyed: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     names = ["class", "blocks", "mine", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, held in slices(batch, most=SLICE):
                 h, ends = shingle_sets(held, n)

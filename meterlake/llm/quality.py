@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passed_on, slices, texts_of
+from .common import passed_on, remembered, slices, texts_of
 
 BITS = 18
 SAMPLE = 12_000
@@ -52,9 +52,6 @@ class Hashed(dict):
         return number
 
 
-_hashed = Hashed()
-
-
 def features(text: str) -> np.ndarray:
     """Distinct feature numbers of a text."""
     lowered = text.lower()
@@ -68,8 +65,9 @@ def features(text: str) -> np.ndarray:
         "repeated lines": len(set(lines)) / len(lines) if lines else 1.0, "bars": (text.count("|") + text.count("\t")) / chars * 20,
         "symbols": sum(map(text.count, "#$%&*@^~<>{}")) / chars * 10, "digits": sum(map(text.count, "0123456789")) / chars * 10,
     }
+    hashed = remembered("feature numbers", Hashed)
     names = [f"\x00{k} {min(20, int(v * 10))}" for k, v in form.items()] + [f"\x00size {min(n, 1 << 20).bit_length()}"]
-    return np.unique(np.fromiter(map(_hashed.__getitem__, [*distinct, *names]), np.int64))
+    return np.unique(np.fromiter(map(hashed.__getitem__, [*distinct, *names]), np.int64))
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, penalty: float = 4e-4, rounds: int = 300, least: int = 4) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from meterlake.llm import chunk_dedup, fingerprints, graph, jaccard, licenses, quality, suffix_dedup
+from meterlake.llm import chunk_dedup, common, fingerprints, graph, jaccard, licenses, quality, suffix_dedup
 
 from .conftest import words
 
@@ -295,3 +295,25 @@ def test_empty_tables(no_docs):
     assert suffix_dedup.remove_repeats(no_docs, digest=True).count() == 0
     assert chunk_dedup.dedup_passages(no_docs).count() == 0
     assert fingerprints.fingerprint(no_docs).count() == 0
+
+
+class Mapped:
+    """Stands for a table; gives the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_stages_give_back_what_other_operators_keep_in_a_worker():
+    for stage in (jaccard.describe(Mapped(), 4),):
+        held = common.remembered("other", dict)
+        assert common.remembered("other", dict) is held
+        assert not list(stage(iter([])))
+        assert not common._remembered
+    common.remembered("one", dict)
+    common.remembered("two", dict)
+    assert list(common._remembered) == ["two"]
+    common.give_back()
