@@ -24,8 +24,8 @@ few runs that agree to the end of that, until none does. Extended runs that touc
 Texts are shuffled into a table in buckets of their rows, equal rows once; all steps up to the last join, which shuffles
 the documents themselves, read it in place.
 The rows that are shuffled besides are digests with positions, and the bytes beside the first
-copies, once for each place. Digests are summed before they are shuffled, and the
-joins that mark and extend the later copies are such that Spark can split them at hot
+copies, once for each place. Digests are counted before they are shuffled, places are sent
+once, and the joins that mark and extend the later copies are such that Spark can split them at hot
 keys.
 
 Nulls and ties: a null text is empty and keeps nothing; rows equal in id and text
@@ -39,10 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, buckets_of, passed_on, row_key, slices, table, texts_of, writing
+from .common import bucketed, buckets_of, give_back, mix, passed_on, row_key, slices, table, texts_of, writing
 
 #: Bytes of a chunk on average and at most.
 MEAN, LONGEST = 40, 256
@@ -79,9 +80,9 @@ def gear_cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return cut
 
 
-def borders(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the chunks of texts given one after the other, and the text of each chunk. Empty texts have none."""
-    cut = gear_cuts(data, ends)
+def borders(data: np.ndarray, ends: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of texts given one after the other, and the text of each chunk. Empty texts have none. ``cut`` is what ``gear_cuts`` gives."""
+    cut = gear_cuts(data, ends) if cut is None else cut.copy()
     start = np.concatenate([[0], ends[:-1]])
     full = ends[ends > start] - 1
     cut[full] = True
@@ -95,8 +96,8 @@ def borders(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return places, np.searchsorted(ends, places - 1, side="right")
 
 
-def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """First bytes of the grams that are seeds: the least of each stretch of ``SPAN`` bytes without a chunk of ``GRAM`` bytes."""
+def grams(data: np.ndarray, ends: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """First bytes of the grams that are seeds: the least of each stretch of ``SPAN`` bytes without a chunk of ``GRAM`` bytes. ``cut`` is what ``gear_cuts`` gives."""
     size, wide = len(data), SPAN - GRAM + 1  # grams of a stretch; a power of two
     if size < SPAN:
         return np.zeros(0, np.int64)
@@ -111,7 +112,7 @@ def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     while step < wide:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
-    cuts = np.flatnonzero(gear_cuts(data, ends)) + 1
+    cuts = np.flatnonzero(cut) + 1
     long = np.flatnonzero(np.diff(cuts) >= GRAM)
     began = np.full(size + 1, -1)
     began[cuts[long + 1]] = cuts[long]
@@ -140,20 +141,31 @@ def long_chunks(places: np.ndarray, of: np.ndarray, ends: np.ndarray) -> tuple[n
     return begin[order], stop[order], of[order]
 
 
+def gram_digests(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of the ``GRAM`` bytes from each place on."""
+    digest = np.full(len(first), GRAM, np.uint64)
+    if len(first):
+        for part in np.lib.stride_tricks.sliding_window_view(data, GRAM)[first].view(np.uint64).T:
+            digest = mix(digest * np.uint64(0x9E3779B97F4A7C15) + part)
+    return digest
+
+
 def seeds(keyed: DataFrame) -> DataFrame:
     """(row, doc_id, at, size, digest) of the long chunks and of the grams; ``at`` is the first byte, ``size`` is below zero for grams."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, held in slices(batch, most=500_000):
                 data, ends = flat_bytes(held)
-                begin, places, of = long_chunks(*borders(data, ends), ends)
-                more = grams(data, ends)
+                cut = gear_cuts(data, ends)
+                begin, places, of = long_chunks(*borders(data, ends, cut), ends)
+                more = grams(data, ends, cut)
                 raw = data.tobytes()
                 digests = np.concatenate([
                     np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), places.tolist())), np.uint64, len(places)),
-                    np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + GRAM], 1) for a in more.tolist()), np.uint64, len(more)),
+                    gram_digests(data, more),
                 ])
                 sizes = np.concatenate([places - begin, np.full(len(more), -GRAM)]).astype(np.int32)
                 of = np.concatenate([of, np.searchsorted(ends, more, side="right")]).astype(np.int64)
@@ -167,8 +179,6 @@ def seeds(keyed: DataFrame) -> DataFrame:
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a slice of texts one after the other, and where each ends."""
-    import pyarrow.compute as pc
-
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     buffers = texts.buffers()
@@ -225,6 +235,11 @@ def _ends(lists: pa.ListArray) -> list[int]:
     return (offsets - offsets[0]).tolist()
 
 
+def _listed(values: pa.Array) -> list:
+    """Numbers or bytes without nulls as Python objects."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def contexts(texts: DataFrame, buckets: int, sides: DataFrame, size: int) -> DataFrame:
     """(frow, pos, side, near): the bytes before (side 0) or from (side 1) a place of a text, at most ``size``; each place once."""
     wanted = sides.select("frow", "pos", "side").distinct().repartition(buckets, "frow").groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
@@ -232,7 +247,7 @@ def contexts(texts: DataFrame, buckets: int, sides: DataFrame, size: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             pos, side = part.column(2).flatten().flatten()
-            places, ends = list(zip(pos.to_pylist(), side.to_pylist())), _ends(part.column(2))
+            places, ends = list(zip(_listed(pos), _listed(side))), _ends(part.column(2))
             near, owners = [], np.repeat(np.arange(len(part)), np.diff(ends))
             for k, text in enumerate(part.column(1)):
                 body = text.as_py().encode()
@@ -281,7 +296,7 @@ def extend(texts: DataFrame, buckets: int, runs: DataFrame, size: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             held, ends = part.column(2), _ends(part.column(2))
-            sides = list(zip(*(x.to_pylist() for x in held.flatten().flatten())))
+            sides = list(zip(*map(_listed, held.flatten().flatten())))
             found, counts = [], [0]
             for k, text in enumerate(part.column(1)):
                 found += longer(text.as_py().encode(), sides[ends[k] : ends[k + 1]])
@@ -300,8 +315,12 @@ def repeated(keyed: DataFrame) -> DataFrame:
     texts = bucketed(keyed.dropDuplicates(["row"]), "texts", "row", buckets)
     found = seeds(texts)
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("row").alias("r"), F.col("at").alias("p"))
-    firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = found.join(firsts, "digest").where(place != F.col("first")).select("row", F.col("first.r").alias("frow"), (F.col("first.p") - F.col("at")).alias("shift"), "at", "size")
+    # digests are counted alone, without their places: most occur once, and places are sent once only
+    often = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    with writing(keyed.sparkSession):
+        shared = table(found.join(often, "digest"), "seeds")
+    firsts = shared.groupBy("digest").agg(F.min(place).alias("first"))
+    later = shared.join(firsts, "digest").where(place != F.col("first")).select("row", F.col("first.r").alias("frow"), (F.col("first.p") - F.col("at")).alias("shift"), "at", "size")
     with writing(keyed.sparkSession):
         runs = table(runs_of(later), "runs")
     spans, left, size = runs.select("row", "ats"), runs.select("row", F.inline("runs"), F.lit(3).alias("open")), CONTEXT
@@ -322,6 +341,7 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
     """Takes the runs out of the texts of ``joined`` (its columns, ats, repeats); adds n_chunks, n_repeated, n_removed and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         text_at, ats_at = columns.index("text"), len(columns)
         for batch in batches:
             for first, held in slices(batch, most=1_000_000):
@@ -329,22 +349,30 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
                 places, of = borders(data, ends)
                 begins, long, owner = long_chunks(places, of, ends)
                 texts, n_chunks, n_repeated, n_removed, spans = [], [], [], [], []
-                bounds, counts = np.searchsorted(owner, np.arange(len(held) + 1)), np.bincount(of, minlength=len(held))
+                counts, starts = np.bincount(of, minlength=len(held)), np.concatenate([[0], ends[:-1]])
+                seen, at = _flat_lists(batch.column(ats_at).slice(first, len(held)))
+                at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+                chunk_stop = long[np.searchsorted(begins, at + starts[seen])] - starts[seen] if len(at) else at
+                wider, spans_held = _flat_lists(batch.column(ats_at + 1).slice(first, len(held)))
+                start, stop = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans_held.flatten())
+                group, start, stop = np.concatenate([seen, wider]), np.concatenate([at, start]), np.concatenate([chunk_stop, stop])
+                order = np.lexsort((start, group))
+                group, start = group[order], start[order]
+                run_first, run_stop = _merged(group, start, stop[order])
+                pieces = list(zip(start[run_first].tolist(), run_stop.tolist()))
+                bounds = np.searchsorted(group[run_first], np.arange(len(held) + 1)).tolist()
+                n_seen = np.bincount(seen, minlength=len(held)).tolist()
                 raw = data.tobytes()
                 for k in range(len(held)):
-                    begin = int(ends[k - 1]) if k else 0
-                    body, ats = raw[begin : int(ends[k])], batch.column(ats_at)[first + k].as_py()
-                    wider = batch.column(ats_at + 1)[first + k].as_py()
-                    own = slice(bounds[k], bounds[k + 1])
-                    stops = dict(zip((begins[own] - begin).tolist(), (long[own] - begin).tolist()))
-                    out = _runs(body, [(a, stops[a]) for a in ats or []], wider or [], least_words)
+                    body = raw[int(starts[k]) : int(ends[k])]
+                    out = _long_runs(body, pieces[bounds[k] : bounds[k + 1]], least_words)
                     kept, last = [], 0
                     for a, b in out:
                         kept.append(body[last:a])
                         last = b
                     kept.append(body[last:])
                     texts.append(b"".join(kept).decode() if out else body.decode())
-                    n_chunks.append(int(counts[k])), n_repeated.append(len(ats or [])), n_removed.append(sum(b - a for a, b in out)), spans.append([{"start": a, "end": b} for a, b in out])
+                    n_chunks.append(int(counts[k])), n_repeated.append(n_seen[k]), n_removed.append(sum(b - a for a, b in out)), spans.append([{"start": a, "end": b} for a, b in out])
                 own = passed_on(batch, first, len(held))[: len(columns)]
                 own[text_at] = pa.array(texts, pa.string())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -354,17 +382,16 @@ def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: i
     return joined.select(*columns, "ats", "repeats").mapInArrow(run, f"{schema}, n_chunks long, n_repeated long, n_removed long, spans array<struct<start:long,end:long>>")
 
 
-def _runs(body: bytes, chunks: list[tuple[int, int]], spans: list[dict], least_words: int) -> list[tuple[int, int]]:
-    """Repeated chunks and extended runs, joined where they touch, with enough words, narrowed to whole characters."""
-    pieces, n = [*chunks, *((x["start"], x["stop"]) for x in spans)], len(body)
-    out: list[list[int]] = []
-    for a, b in sorted(pieces):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    kept = []
-    for a, b in out:
+def _flat_lists(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each value of the lists, and the values; a null is an empty list."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), counts), lists.flatten()
+
+
+def _long_runs(body: bytes, runs: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+    """Those with enough words, narrowed to whole characters, of the repeated chunks and extended runs of a text, joined where they touch."""
+    n, kept = len(body), []
+    for a, b in runs:
         while a < b and body[a] & 0xC0 == 0x80:
             a += 1
         while b > a and b < n and body[b] & 0xC0 == 0x80:

@@ -308,7 +308,7 @@ class Mapped:
 
 
 def test_stages_give_back_what_other_operators_keep_in_a_worker():
-    for stage in (jaccard.describe(Mapped(), 4),):
+    for stage in (jaccard.describe(Mapped(), 4), chunk_dedup.seeds(Mapped())):
         held = common.remembered("other", dict)
         assert common.remembered("other", dict) is held
         assert not list(stage(iter([])))
@@ -317,3 +317,11 @@ def test_stages_give_back_what_other_operators_keep_in_a_worker():
     common.remembered("two", dict)
     assert list(common._remembered) == ["two"]
     common.give_back()
+
+
+def test_digests_of_grams_depend_on_their_bytes_only():
+    g = np.random.Generator(np.random.PCG64(3))
+    data = np.concatenate([part := g.integers(0, 4, 200).astype(np.uint8), part])
+    digests = chunk_dedup.gram_digests(data, np.arange(len(data) - chunk_dedup.GRAM + 1))
+    assert (digests[:169] == digests[200:369]).all() and len(np.unique(digests)) == 200
+    assert len(chunk_dedup.gram_digests(data[:5], np.zeros(0, np.int64))) == 0
