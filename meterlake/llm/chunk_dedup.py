@@ -18,14 +18,15 @@ a passage is missed if all its seeds stand still earlier by chance.
 Seeds that follow each other in both texts form a run. Each run is extended to both
 sides, byte by byte, as far as the text around its first copy agrees: over at most
 ``CONTEXT`` bytes at first, and over eight times as many in each further round for the
-few runs that agree to the end of that, until none does. Extended runs that touch are one, and those of at least
+few runs that agree to the end of that, until none does. A short gap between two runs along the
+same copy is compared once, and runs of a row that lead to the same place share its bytes. Extended runs that touch are one, and those of at least
 ``least_words`` words are removed, so that chance repeats leave a text alone.
 
 Texts are shuffled into a table in buckets of their rows, equal rows once; all steps up to the last join, which shuffles
 the documents themselves, read it in place.
 The rows that are shuffled besides are digests with positions, and the bytes beside the first
-copies, once for each place. Digests are counted before they are shuffled, places are sent
-once, and the joins that mark and extend the later copies are such that Spark can split them at hot
+copies, once for each row and place. Texts are numbered in order, so that a place is one number; digests are counted before they
+are shuffled, with their least place, all places are sent once, and the joins that mark and extend the later copies are such that Spark can split them at hot
 keys.
 
 Nulls and ties: a null text is empty and keeps nothing; rows equal in id and text
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, buckets_of, give_back, mix, passed_on, row_key, slices, table, texts_of, writing
+from .common import bucketed, buckets_of, give_back, mix, passed_on, row_key, running_start, slices, table, texts_of, writing
 
 #: Bytes of a chunk on average and at most.
 MEAN, LONGEST = 40, 256
@@ -150,8 +151,16 @@ def gram_digests(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return digest
 
 
+def places_of(texts: DataFrame) -> DataFrame:
+    """(row, place): where a text begins when all stand one behind the other in the order of ids and rows, each on 2^32 places."""
+    rows = texts.select("row", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.lit(1).alias("one"))
+    nth = F.col("nth")
+    place = F.when(nth < 2**31, F.shiftleft(nth, 32)).otherwise(F.raise_error(F.lit("more than 2^31 texts")).cast("long"))
+    return running_start(rows, ["id", "row"], "one", "nth", 64).select("row", place.alias("place"))
+
+
 def seeds(keyed: DataFrame) -> DataFrame:
-    """(row, doc_id, at, size, digest) of the long chunks and of the grams; ``at`` is the first byte, ``size`` is below zero for grams."""
+    """(row, place, size, digest) of the long chunks and of the grams; ``place`` is that of the first byte, ``size`` is below zero for grams."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +179,11 @@ def seeds(keyed: DataFrame) -> DataFrame:
                 sizes = np.concatenate([places - begin, np.full(len(more), -GRAM)]).astype(np.int32)
                 of = np.concatenate([of, np.searchsorted(ends, more, side="right")]).astype(np.int64)
                 at = np.concatenate([begin, more]).astype(np.int64) - np.concatenate([[0], ends[:-1]])[of]
-                which = pa.array(of + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(at.astype(np.int64)), pa.array(sizes), pa.array(digests.view(np.int64))], names=["row", "doc_id", "at", "size", "digest"])
+                row, place = (batch.column(k).to_numpy(zero_copy_only=False)[first:][of] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(place + at), pa.array(sizes), pa.array(digests.view(np.int64))], names=["row", "place", "size", "digest"])
             pa.default_memory_pool().release_unused()
 
-    return keyed.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, at long, size int, digest long")
+    return keyed.select("row", "place", "text").mapInArrow(run, "row long, place long, size int, digest long")
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,144 +206,218 @@ def _merged(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
     return first, (far - base)[np.concatenate([first[1:], [len(group)]]) - 1] if len(first) else first
 
 
-RUN = "frow long, shift long, start long, stop long"
+RUNS = "array<struct<lead:long,start:long,stop:long,open:int>>"
+ASKS = "array<struct<place:long,length:long>>"
 
 
-def runs_of(later: DataFrame) -> DataFrame:
-    """(row, ats, runs): the repeated chunks of a row, and the runs of seeds that follow each other in both texts."""
-    held = later.groupBy("row").agg(F.collect_set(F.struct("frow", "shift", "at", "size")).alias("s"))  # bounded by the row's own text
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut so that equal values stay together."""
+    rest = None
+    for batch in batches:
+        if len(batch):
+            batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            rows = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(rows, rows[-1]))
+            if cut:
+                yield batch.slice(0, cut)
+            rest = batch.slice(cut)
+    if rest is not None:
+        yield rest
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            of = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
-            frow, shift, at, size = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
-            order = np.lexsort((at, shift, frow, of))
-            of, frow, shift, at, size = (x[order] for x in (of, frow, shift, at, size))
-            new = np.concatenate([[True], (of[1:] != of[:-1]) | (frow[1:] != frow[:-1]) | (shift[1:] != shift[:-1])])[: len(of)]
-            first, stop = _merged(np.cumsum(new), at, at + np.abs(size))
-            fields = [pa.array(frow[first]), pa.array(shift[first]), pa.array(at[first]), pa.array(stop)]
-            runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(batch) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, ["frow", "shift", "start", "stop"]))
-            chunk = size > 0
-            ats = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[chunk], np.arange(len(batch) + 1)).astype(np.int32)), pa.array(at[chunk]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ats, runs], names=["row", "ats", "runs"])
 
-    return held.mapInArrow(run, f"row long, ats array<long>, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')}>>")
+def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Lists of the values of ``n`` rows; ``of`` is the row of each, ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A few rows at a time become Python objects; memory that Arrow holds in reserve goes back after each batch."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
-        pa.default_memory_pool().release_unused()
+def _structs(**fields: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
 
 
-def _ends(lists: pa.ListArray) -> list[int]:
-    offsets = lists.offsets.to_numpy()
-    return (offsets - offsets[0]).tolist()
+def asked(of: np.ndarray, lead: np.ndarray, start: np.ndarray, stop: np.ndarray, open: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(side, length, place, whole): the bytes of first copies that runs, sorted by row, lead and start, are compared with next.
 
+    Side 2k is the left one of run k, 2k + 1 its right one. At most ``size`` bytes are asked for, none beyond the next run with the
+    same lead, and those before a place if ``length`` is below zero. A gap of at most twice ``size`` between open sides is asked for once and ``whole``.
+    """
+    n = len(of)
+    far = np.full(n + 1, 1 << 62)  # to the run before
+    same = np.flatnonzero((of[1:] == of[:-1]) & (lead[1:] == lead[:-1])) + 1
+    far[same] = start[same] - stop[same - 1]
+    left, right = (open & 1 != 0) & (start > 0), open & 2 != 0
+    whole = right & np.concatenate([left[1:], [False]])[:n] & (far[1:] <= 2 * size)
+    left[1:] &= ~whole[:-1]
+    length = np.zeros(2 * n, np.int64)
+    length[0::2] = np.where(left, -np.minimum(size, far[:-1]), 0)
+    length[1::2] = np.where(whole, far[1:], np.where(right, np.minimum(size, far[1:]), 0))
+    side = np.flatnonzero(length)
+    place = np.stack([lead + start, lead + stop], axis=1).ravel()[side]
+    return side, length[side], place, whole
+
+
+def _once(of: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each set of equal asks of a row, and of each ask the number of its set: runs of a text that repeats itself lead to the same places."""
+    order = np.lexsort((length, place, of))
+    new = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in (of, place, length)], axis=0)])[: len(of)]
+    nth = np.empty(len(of), np.int64)
+    nth[order] = np.cumsum(new) - 1
+    return order[new], nth
+
+
+def _open_runs(of: np.ndarray, n: int, lead: np.ndarray, start: np.ndarray, stop: np.ndarray, open: np.ndarray, size: int) -> list[pa.Array]:
+    """Runs that may go on and what they ask for, each once, as lists for ``n`` rows."""
+    side, length, place, _ = asked(of, lead, start, stop, open, size)
+    once, _ = _once(of[side >> 1], place, length)
+    return [_lists(of, n, _structs(lead=lead, start=start, stop=stop, open=open.astype(np.int32))), _lists(of[side[once] >> 1], n, _structs(place=place[once], length=length[once]))]
+
+
+def runs_of(later: DataFrame, buckets: int) -> DataFrame:
+    """(row, ats, runs, asks): the repeated chunks of a row, and the runs of seeds that follow each other in both texts.
+
+    ``lead`` is the place of the first copy less that in the text; it tells first copies and shifts apart.
+    """
 
-def _listed(values: pa.Array) -> list:
-    """Numbers or bytes without nulls as Python objects."""
-    return values.to_numpy(zero_copy_only=False).tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole(batches):
+            row, lead, at, size = (c.to_numpy() for c in batch.columns)
+            keys, of = np.unique(row, return_inverse=True)
+            order = np.lexsort((at, lead, of))
+            of, lead, at, size = of[order], lead[order], at[order], size[order].astype(np.int64)
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (lead[1:] != lead[:-1])])
+            first, stop = _merged(np.cumsum(new), at, at + np.abs(size))
+            chunk = size > 0
+            held = _open_runs(of[first], len(keys), lead[first], at[first], stop, np.full(len(first), 3), CONTEXT)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), _lists(of[chunk], len(keys), pa.array(at[chunk])), *held], names=["row", "ats", "runs", "asks"])
+            pa.default_memory_pool().release_unused()
+
+    return later.repartition(buckets, "row").sortWithinPartitions("row").mapInArrow(run, f"row long, ats array<long>, runs {RUNS}, asks {ASKS}")
 
 
-def contexts(texts: DataFrame, buckets: int, sides: DataFrame, size: int) -> DataFrame:
-    """(frow, pos, side, near): the bytes before (side 0) or from (side 1) a place of a text, at most ``size``; each place once."""
-    wanted = sides.select("frow", "pos", "side").distinct().repartition(buckets, "frow").groupBy("frow").agg(F.collect_set(F.struct("pos", "side")).alias("wanted"))  # bounded by the text of frow
+def contexts(texts: DataFrame, places: DataFrame, sides: DataFrame) -> DataFrame:
+    """(place, length, near): the bytes from a place of a text on, or before it if ``length`` is below zero; each once."""
+    wanted = sides.select("place", "length").distinct().groupBy(F.shiftright("place", 32).alias("nth")).agg(F.collect_list(F.struct("place", "length")).alias("wanted"))  # bounded by one text
+    wanted = wanted.join(places.select(F.shiftright("place", 32).alias("nth"), "row"), "nth").select("row", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            pos, side = part.column(2).flatten().flatten()
-            places, ends = list(zip(_listed(pos), _listed(side))), _ends(part.column(2))
-            near, owners = [], np.repeat(np.arange(len(part)), np.diff(ends))
-            for k, text in enumerate(part.column(1)):
-                body = text.as_py().encode()
-                near += [body[p : p + size] if after else body[max(0, p - size) : p] for p, after in places[ends[k] : ends[k + 1]]]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), pos, side, pa.array(near, pa.binary())], names=["frow", "pos", "side", "near"])
+        for batch in batches:
+            for first, held in slices(batch, most=1_000_000):
+                data, ends = flat_bytes(held)
+                raw, starts = data.tobytes(), np.concatenate([[0], ends[:-1]])
+                of, asks = _flat_lists(batch.column(1).slice(first, len(held)))
+                place, length = (x.to_numpy() for x in asks.flatten())
+                pos = starts[of] + (place & 0xFFFFFFFF)
+                a, b = np.maximum(np.minimum(pos, pos + length), starts[of]), np.minimum(np.maximum(pos, pos + length), ends[of])
+                near = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(length), near], names=["place", "length", "near"])
+            pa.default_memory_pool().release_unused()
 
-    held = texts.select(F.col("row").alias("frow"), "text").join(wanted, "frow").select("frow", "text", "wanted")
-    return held.mapInArrow(run, "frow long, pos long, side int, near binary")
+    return texts.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(run, "place long, length long, near binary")
 
 
-def agreed(a: bytes, b: bytes) -> int:
-    """Bytes that two strings share from their start."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+def compared(data: np.ndarray, a: np.ndarray, near: np.ndarray, b: np.ndarray, n: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that strings share from their start, and to their end: ``n`` bytes at ``a`` of ``data`` and at ``b`` of ``near``.
+
+    Long strings are compared one by one, short ones about ``most`` bytes at a time.
+    """
+    ahead, behind = n.copy(), n.copy()
+    long = np.flatnonzero(n > 4 * CONTEXT)
+    if len(long):
+        own, other = data.tobytes(), near.tobytes()
+        for k, p, q, m in zip(long.tolist(), a[long].tolist(), b[long].tolist(), n[long].tolist()):
+            if own[p : p + m] != other[q : q + m]:
+                differ = data[p : p + m] != near[q : q + m]
+                ahead[k], behind[k] = differ.argmax(), differ[::-1].argmax()
+    short = np.flatnonzero(n <= 4 * CONTEXT)
+    for ks in np.split(short, np.searchsorted(upto := np.cumsum(n[short]), np.arange(most, int(upto[-1]), most))) if len(short) else []:
+        ends = np.cumsum(n[ks])
+        begin, byte = ends - n[ks], np.arange(int(n[ks].sum()))
+        differ = np.flatnonzero(data[byte + np.repeat(a[ks] - begin, n[ks])] != near[byte + np.repeat(b[ks] - begin, n[ks])])
+        x, y = np.searchsorted(differ, begin), np.searchsorted(differ, ends)
+        some = np.flatnonzero(y > x)
+        ahead[ks[some]] = differ[x[some]] - begin[some]
+        behind[ks[some]] = ends[some] - 1 - differ[y[some] - 1]
+    return ahead, behind
+
+
+def _longer(data: np.ndarray, ends: np.ndarray, of: np.ndarray, runs: list[np.ndarray], near: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(of, lead, start, stop, open) of runs extended by what they asked for; those that touch are one. ``near`` is cut at ``bounds``."""
+    lead, start, stop, open = runs
+    side, length, place, whole = asked(of, lead, start, stop, open, size)
+    k, right = side >> 1, side & 1 == 1
+    _, nth = _once(of[k], place, length)
+    head, tail = bounds[:-1][nth], bounds[1:][nth]
+    begin = np.concatenate([[0], ends[:-1]])[of[k]]
+    n = np.minimum(tail - head, np.where(right, ends[of[k]] - begin - stop[k], start[k]))
+    a = begin + np.where(right, stop[k], start[k] - n)
+    ahead, behind = compared(data, a, near, np.where(right, head, tail - n), n)
+    more = np.zeros((len(of) + 1, 2), np.int64)  # to the left and right of each run
+    more[k[right], 1], more[k[~right], 0] = ahead[right], behind[~right]
+    gap = right & whole[k]
+    more[k[gap] + 1, 0] = behind[gap]
+    on = np.zeros((len(of), 2), bool)
+    on[k[right], 1], on[k[~right], 0] = (ahead == size)[right] & ~gap[right], (behind == size)[~right]
+    start, stop = start - more[:-1, 0], stop + more[:-1, 1]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (lead[1:] != lead[:-1]) | (start[1:] > stop[:-1])])[: len(of)]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(of)]])[: len(first)] - 1
+    return of[first], lead[first], start[first], stop[last], on[first, 0] + 2 * on[last, 1]
 
 
-def extend(texts: DataFrame, buckets: int, runs: DataFrame, size: int) -> DataFrame:
-    """(row, runs): runs (row, frow, shift, start, stop, open) extended by at most ``size`` bytes at their open sides.
+def extend(texts: DataFrame, places: DataFrame, buckets: int, runs: DataFrame, size: int) -> DataFrame:
+    """(row, more, runs, asks): runs (row, runs, asks) extended by at most ``size`` bytes at their open sides, and those that may go on.
 
     ``open`` is 1 if the left side may go on, 2 if the right one may, 3 for both.
     """
-    ways = [F.when(F.col("open").bitwiseAND(1 << k) != 0, F.struct((F.col(c) + F.col("shift")).alias("pos"), F.lit(k).alias("side"))) for k, c in enumerate(("start", "stop"))]
-    sides = runs.select("row", "frow", "shift", "start", "stop", F.inline(F.filter(F.array(*ways), lambda x: x.isNotNull())))
-    near = sides.join(contexts(texts, buckets, sides, size), ["frow", "pos", "side"])
-    held = near.repartition(buckets, "row").groupBy("row").agg(F.collect_list(F.struct("frow", "shift", "start", "stop", "side", "near")).alias("sides"))  # as many as the row has runs
-
-    def longer(body: bytes, sides: list[tuple]) -> list[list]:
-        out = []
-        for frow, shift, a, b, side, near in sides:
-            n = agreed(body[b : b + size], near) if side else agreed(body[max(0, a - size) : a][::-1], near[::-1])
-            out.append([frow, shift, a, b + n, 2 * (n == size)] if side else [frow, shift, a - n, b, int(n == size)])
-        joined: list[list] = []
-        for x in sorted(out):
-            last = joined[-1] if joined else None
-            if last and last[:2] == x[:2] and x[2] <= last[3]:
-                # only the outer ends of what is joined can be open
-                left = (last[4] | x[4] if x[2] == last[2] else last[4]) & 1
-                right = (x[4] if x[3] > last[3] else last[4] | x[4] if x[3] == last[3] else last[4]) & 2
-                last[3:] = max(last[3], x[3]), left | right
-            else:
-                joined.append(x)
-        return joined
+    sides = runs.select("row", F.posexplode("asks").alias("k", "ask")).select("row", "k", "ask.place", "ask.length")
+    near = sides.join(contexts(texts, places, sides), ["place", "length"])
+    held = near.repartition(buckets, "row").groupBy("row").agg(F.collect_list(F.struct("k", "near")).alias("sides"))  # bounded by the runs of the row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            held, ends = part.column(2), _ends(part.column(2))
-            sides = list(zip(*map(_listed, held.flatten().flatten())))
-            found, counts = [], [0]
-            for k, text in enumerate(part.column(1)):
-                found += longer(text.as_py().encode(), sides[ends[k] : ends[k + 1]])
-                counts.append(len(found))
-            names = ["frow", "shift", "start", "stop", "open"]
-            fields = [pa.array([x[k] for x in found], pa.int32() if k == 4 else pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, names))], names=["row", "runs"])
+        for batch in batches:
+            for first, text in slices(batch, most=1_000_000):
+                n = len(text)
+                data, ends = flat_bytes(text)
+                of, fields = _flat_lists(batch.column(2).slice(first, n))
+                owner, got = _flat_lists(batch.column(3).slice(first, n))
+                nth, near = got.flatten()
+                near = near.take(pa.array(np.lexsort((nth.to_numpy(), owner)))).cast(pa.large_binary())
+                bounds = np.concatenate([[0], np.cumsum(pc.binary_length(near).to_numpy())]).astype(np.int64)
+                raw = near.buffers()[2]
+                flat = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+                of, lead, start, stop, open = _longer(data, ends, of, [x.to_numpy() for x in fields.flatten()], flat, bounds, size)
+                on = open != 0
+                rest = _open_runs(of[on], n, lead[on], start[on], stop[on], open[on], 8 * size)
+                rows = batch.column(0).take(pa.array(np.arange(first, first + n)))
+                yield pa.RecordBatch.from_arrays([rows, _lists(of, n, _structs(start=start, stop=stop)), *rest], names=["row", "more", "runs", "asks"])
+            pa.default_memory_pool().release_unused()
 
-    joined = texts.select("row", "text").join(held, "row").select("row", "text", "sides")
-    return joined.mapInArrow(run, f"row long, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')},open:int>>")
+    joined = texts.select("row", "text").join(held, "row").join(runs.select("row", "runs"), "row").select("row", "text", "runs", "sides")
+    return joined.mapInArrow(run, f"row long, more array<struct<start:long,stop:long>>, runs {RUNS}, asks {ASKS}")
 
 
 def repeated(keyed: DataFrame) -> DataFrame:
     """(row, ats, repeats): the chunks of a row of which an earlier copy exists, and the extended runs."""
     buckets = buckets_of(keyed)
     texts = bucketed(keyed.dropDuplicates(["row"]), "texts", "row", buckets)
-    found = seeds(texts)
-    place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("row").alias("r"), F.col("at").alias("p"))
-    # digests are counted alone, without their places: most occur once, and places are sent once only
-    often = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    with writing(keyed.sparkSession):
-        shared = table(found.join(often, "digest"), "seeds")
-    firsts = shared.groupBy("digest").agg(F.min(place).alias("first"))
-    later = shared.join(firsts, "digest").where(place != F.col("first")).select("row", F.col("first.r").alias("frow"), (F.col("first.p") - F.col("at")).alias("shift"), "at", "size")
+    places = bucketed(places_of(texts), "places", "row", buckets)
+    found = seeds(texts.join(places, "row"))
+    # digests are counted before the shuffle, with their least place; most occur once, and no others are joined with their copies
+    firsts = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("digest", "first")
+    at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    later = found.join(firsts.hint("shuffle_hash"), "digest").where("place <> first").select("row", (F.col("first") - at).alias("lead"), at.alias("at"), "size")
     with writing(keyed.sparkSession):
-        runs = table(runs_of(later), "runs")
-    spans, left, size = runs.select("row", "ats"), runs.select("row", F.inline("runs"), F.lit(3).alias("open")), CONTEXT
+        left = table(runs_of(later, buckets), "runs")
+    # a run of seeds is repeated whether or not anything is asked for beside it
     none = F.array().cast("array<struct<start:long,stop:long>>")
-    repeats = none
-    while True:
+    repeats = F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    spans, size, repeats = left.select("row", "ats", repeats.alias("repeats")), CONTEXT, F.col("repeats")
+    left = left.where("size(asks) > 0")
+    while not left.isEmpty():
         with writing(keyed.sparkSession):
-            more = table(extend(texts, buckets, left, size), "extended")
-        ends = more.select("row", F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("more"))
-        spans = spans.join(ends, "row", "left").select("row", "ats", F.concat(repeats, F.coalesce("more", none)).alias("repeats"))
-        left = more.select("row", F.inline("runs")).where("open <> 0")
-        if left.isEmpty():
-            return spans
-        size, repeats = 8 * size, F.col("repeats")
+            more = table(extend(texts, places, buckets, left, size), "extended")
+        spans = spans.join(more.select("row", "more"), "row", "left").select("row", "ats", F.concat(repeats, F.coalesce("more", none)).alias("repeats"))
+        left, size = more.where("size(asks) > 0"), 8 * size
+    return spans
 
 
 def cut_texts(columns: list[str], schema: str, joined: DataFrame, least_words: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meterlake.llm import chunk_dedup, common, fingerprints, graph, jaccard, licenses, quality, suffix_dedup
@@ -325,3 +326,32 @@ def test_digests_of_grams_depend_on_their_bytes_only():
     digests = chunk_dedup.gram_digests(data, np.arange(len(data) - chunk_dedup.GRAM + 1))
     assert (digests[:169] == digests[200:369]).all() and len(np.unique(digests)) == 200
     assert len(chunk_dedup.gram_digests(data[:5], np.zeros(0, np.int64))) == 0
+
+
+def test_gaps_and_equal_places_are_asked_for_once():
+    # row 0: two runs 50 bytes apart along one copy, and two more that lead to one place; row 1: one run from its first byte on
+    of, lead = np.array([0, 0, 0, 0, 1]), np.array([1000, 1000, 5000, 5100, 7000])
+    start, stop = np.array([100, 182, 400, 300, 0]), np.array([132, 214, 432, 332, 32])
+    side, length, place, whole = chunk_dedup.asked(of, lead, start, stop, np.full(5, 3), 64)
+    assert side.tolist() == [0, 1, 3, 4, 5, 6, 7, 9] and whole.tolist() == [True, False, False, False, False]
+    assert length.tolist() == [-64, 50, 64, -64, 64, -64, 64, 64] and place.tolist()[3:7] == [5400, 5432, 5400, 5432]
+    once, nth = chunk_dedup._once(of[side >> 1], place, length)
+    assert len(once) == 6 and (place[once][nth] == place).all() and (length[once][nth] == length).all()
+
+
+def test_strings_are_compared_from_both_ends():
+    g = random.Random(11)
+    pairs = [(bytes(g.choices(b"ab", (1, 1 + k % 9 * 20), k=n)), n) for k in range(300) for n in [g.choice([0, 1, 7, 64, 300, 900])]]
+    others = [bytes(g.choices(b"ab", (1, 150), k=n)) if g.random() < 0.7 else x for x, n in pairs]
+    n = np.array([x[1] for x in pairs])
+    a = np.cumsum(n) - n
+    flat = [np.frombuffer(b"".join(x), np.uint8) for x in ([x for x, _ in pairs], others)]
+    ahead, behind = chunk_dedup.compared(flat[0], a, flat[1], a, n, most=500)
+    for (x, _), y, i, j in zip(pairs, others, ahead, behind):
+        assert i == next((k for k in range(len(x)) if x[k] != y[k]), len(x))
+        assert j == next((k for k in range(len(x)) if x[-1 - k] != y[-1 - k]), len(x))
+
+
+def test_groups_are_not_cut_between_batches():
+    batches = [pa.RecordBatch.from_pydict({"row": x}) for x in ([1, 1, 2], [2, 2], [], [2, 5], [7])]
+    assert [b.column(0).to_pylist() for b in chunk_dedup._whole(iter(batches))] == [[1, 1], [2, 2, 2, 2], [5], [7]]
